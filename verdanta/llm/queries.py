@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdanta.llm import bpe
+from verdanta.llm import bpe, exact_dedup, url_filter
 from verdanta.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,19 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+ORACLES["op8_url_filter"] = url_filter.ORACLE
+
+
+@_query
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op10_exact_dedup"] = exact_dedup.ORACLE
