@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdanta.llm import bpe, exact_dedup, line_dedup, url_filter
+from verdanta.llm import bpe, decontam, exact_dedup, line_dedup, toxicity, url_filter
 from verdanta.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,20 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op3_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontam.search(docs, table(spark, folder, "benchmark")).drop("text")
+
+
+ORACLES["op3_decontam"] = decontam.ORACLE
+
+
+@_query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @_query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
