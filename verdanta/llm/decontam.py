@@ -185,7 +185,7 @@ with d as (
   from ds join bs on ds.s = bs.s and ds.k = bs.k join bn on bs.item_id = bn.item_id
   group by ds.doc_id, bs.item_id having count(*) / any_value(bn.n) >= 0.8 - 1e-12
 )
-select d.doc_id, coalesce(list(m.item_id order by m.item_id) filter (m.item_id is not null), []) as item_ids,
+select d.doc_id, coalesce(string_agg(m.item_id, ',' order by m.item_id), '') as item_ids,
        coalesce(max(m.c), 0.0)::double as max_containment, count(m.item_id) > 0 as contaminated
 from d left join m on d.doc_id = m.doc_id group by d.doc_id
 """

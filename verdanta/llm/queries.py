@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdanta.llm import bpe, decontam, exact_dedup, line_dedup, toxicity, url_filter
+from verdanta.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, toxicity, url_filter
 from verdanta.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,8 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_decontam(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return decontam.search(docs, table(spark, folder, "benchmark")).drop("text")
+    found = decontam.search(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.concat_ws(",", F.col("item_ids").cast("array<string>")).alias("item_ids"), "max_containment", "contaminated")
 
 
 ORACLES["op3_decontam"] = decontam.ORACLE
@@ -55,6 +57,14 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op8_url_filter"] = url_filter.ORACLE
 
 
+@_query
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, folder, "documents"))
+
+
+ORACLES["op9_ngram_join"] = ngram_join.ORACLE
+
+
 @_query
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
