@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdanta.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, toxicity, url_filter
+from verdanta.llm import bpe, decontam, exact_dedup, html_extract, line_dedup, ngram_join, pii, toxicity, url_filter
 from verdanta.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents"))
+
+
 @_query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -41,6 +46,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 @_query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
