@@ -24,36 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdanta.llm import bitmaps
 from verdanta.llm.cluster import checkpoint
 
 #: The characters that the comparison ignores: [\x20\x09-\x0D].
 IGNORED = " \t\n\x0b\x0c\r"
-FILTER_BITS = 27
-#: A bitmap function of Spark packs this many positions into one value.
-BUCKET_BITS = 15
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), IGNORED, "")
 
 
-def possibly_repeated(rows: DataFrame, key: str, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may occur again, rows whose key certainly does not)."""
-    at = rows.withColumn("_at", F.xxhash64(key).bitwiseAND(F.lit((1 << filter_bits) - 1)))
-    bucket = lambda c: F.shiftright(c, BUCKET_BITS).cast("int")
-    met = at.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    maps = met.groupBy(bucket(F.col("_at")).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))).alias("_map"))
-    maps = checkpoint(maps)
-    inner = F.col("_at").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright(inner, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.getbit(byte, inner.bitwiseAND(F.lit(7))) == 1
-    joined = at.withColumn("_bucket", bucket(F.col("_at"))).join(F.broadcast(maps), "_bucket", "left")
-    tested = joined.withColumn("_repeated", F.coalesce(set_, F.lit(False)))
-    drop = ("_at", "_bucket", "_map", "_repeated")
-    return tested.where("_repeated").drop(*drop), tested.where("not _repeated").drop(*drop)
-
-
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", filter_bits: int = bitmaps.BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     whole = F.col(text).cast("string")
     rows = docs.select(
@@ -62,7 +44,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.coalesce(F.char_length(whole), F.lit(0)).cast("long").alias("points"),
     )
     rows = checkpoint(rows)  # digests only: the texts are read once
-    maybe, single = possibly_repeated(rows, "key", filter_bits)
+    maybe, single = bitmaps.possibly_repeated(rows, "key", bits=filter_bits)
     maybe = checkpoint(maybe)
     best = F.min(F.struct((-F.col("points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")))
     groups = checkpoint(maybe.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")))

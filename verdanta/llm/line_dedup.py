@@ -7,13 +7,16 @@ exists; documents come by doc_id, lines by their place. Lines of under 10
 characters are left alone.
 
 How near copies are found:
-1. Distinct lines are summed to (hash, first occurrence, count).
+1. Only digests of lines shuffle, and only those whose hash may occur again (a
+   filter of bitmaps tells); equal lines are summed to their first occurrence.
 2. Two lines one edit apart, the shorter of length s, agree in their first or
-   their last s/2 characters. Only lines that share such a half with another
+   their last s/2 characters (rounded down). Only lines that share such a half with another
    distinct line are live; most lines end here.
-3. Live lines emit every variant within the bound as a hashed key: the line
-   itself and, for each place i, the line without its i-th character.
-4. Equal variants are joined without making pairs within a group: lines with the
+3. Live lines are cut into blocks; only a block whose whole rest is shared with
+   another live line can hold the edit.
+4. For such blocks, lines emit every variant within the bound as a hashed key:
+   the line itself and, for each place i, the line without its i-th character.
+   Equal variants are joined without making pairs within a group: lines with the
    same (variant, i) differ by a replacement at i, so the earliest of the group
    stands for all; a line that equals a variant is one deletion away from every
    line that emits it.
@@ -22,7 +25,7 @@ How near copies are found:
 Groups of any size are summed before they shuffle. Defined results: a null text
 has no lines and stays null; an empty text stays; a row stays even if all its
 lines go (its text is then empty). A null doc_id comes last. Rows equal in
-doc_id and text count as one document. All columns of ``docs`` come back.
+doc_id count as one document: of equal lines at the same place none is earlier. All columns of ``docs`` come back.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdanta.llm import bitmaps
 from verdanta.llm.cluster import checkpoint
 
 MIN_CHARS = 10
@@ -39,7 +43,7 @@ BLANKS = " \t\x0b\x0c\r"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """One row per line that counts: its document's order, its place, its compared form and two hashes of that."""
+    """One row per line that counts: its document, its place, its compared form and two hashes of that."""
     lines = rows.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("_pos", "_raw"))
     lines = lines.select("_id", "_key", "_pos", F.lower(F.btrim("_raw", F.lit(BLANKS))).alias("_norm"))
     lines = lines.withColumn("_len", F.char_length("_norm")).where(F.col("_len") >= MIN_CHARS)
@@ -47,34 +51,64 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _halves() -> Column:
-    """Keys of the first and last halves, for either length that the shorter of a pair may have."""
+    """Keys of the first and last halves, their length rounded down to a multiple of 4.
+
+    A line also gives the keys of a line shorter by one, where these differ; so
+    whichever of a pair is the shorter, both have the keys of its length.
+    """
     keys = []
-    for s in (F.col("_len"), F.col("_len") - 1):
-        half = F.floor(s / 2).cast("int")
-        keys.append(F.xxhash64(F.lit(0), s, F.left("_norm", half)))
-        keys.append(F.xxhash64(F.lit(1), s, F.right("_norm", half)))
-    return F.when(F.col("_len") >= NEAR_CHARS, F.array(*keys))
+    for k in (1, 2):
+        half = F.floor((F.col("_len") - k) / 8).cast("int") * 4
+        pair = (F.xxhash64(F.lit(0), F.left("_norm", half)), F.xxhash64(F.lit(1), F.right("_norm", half)))
+        keys += pair if k == 1 else [F.when(F.col("_len") % 8 == 1, x) for x in pair]
+    return F.when(F.col("_len") >= NEAR_CHARS, F.array_compact(F.array(*keys)))
+
+
+def _order() -> Column:
+    """Documents by id (a null one last), then lines by place."""
+    return F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("i"), F.col("_pos").alias("p"))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """For each live line and each block of it that one edit may lie in: a key of all the rest.
+
+    A line of length n stands for the shorter or equal one of a pair (s = n) and
+    for the longer one (s = n - 1). Blocks are cut by s: 16 characters, or more
+    where that would be over 64 blocks. The longer one's block has one character
+    more, so what follows the block is aligned.
+    """
+    sides = texts.select("_a", "_b", "_norm", F.explode(F.array(F.lit(False), F.lit(True))).alias("_longer"))
+    sides = sides.withColumn("_s", F.char_length("_norm") - F.col("_longer").cast("int"))
+    sides = sides.withColumn("_width", F.greatest(F.lit(16), F.ceil(F.col("_s") / 64)).cast("int"))
+    parts = sides.withColumn("_start", F.explode(F.expr("sequence(0, _s - 1, _width)")))
+    parts = parts.withColumn("_size", F.least(F.col("_width"), F.col("_s") - F.col("_start")) + F.col("_longer").cast("int"))
+    place = F.xxhash64("_s", "_start", F.expr("substring(_norm, 1, _start)"), F.expr("substring(_norm, _start + _size + 1)"))
+    return parts.select("_a", "_b", "_longer", "_start", "_size", place.alias("_place"))
 
 
-def _near(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+def _near(digests: DataFrame, lines: DataFrame) -> DataFrame:
     """(_a, _b, cut): for lines with an earlier near copy, the order of the earliest."""
-    keys = distinct.where("_halves is not null").select("_a", "_b", F.explode("_halves").alias("_half"))
+    keys = digests.where("_halves is not null").select("_a", "_b", F.explode("_halves").alias("_half"))
     shared = keys.groupBy("_half").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low <> _high").select("_half")
-    live = keys.join(shared, "_half", "left_semi").select("_a", "_b").distinct()
-    live = live.join(distinct.select("_a", "_b", "_first"), ["_a", "_b"])
-    texts = lines.where(F.col("_len") >= NEAR_CHARS).select("_a", "_b", "_norm").join(live, ["_a", "_b"]).groupBy("_a", "_b").agg(F.first("_norm").alias("_norm"), F.first("_first").alias("_first"))
-    texts = checkpoint(texts)
-    me = F.struct("_first", "_a", "_b").alias("_me")
-    own = texts.select(me, F.xxhash64("_norm").alias("_v"))
-    less = texts.select(me, "_norm", F.explode(F.sequence(F.lit(1), F.char_length("_norm"))).alias("_i"))
-    less = less.select("_me", "_i", F.xxhash64(F.concat(F.expr("substring(_norm, 1, _i - 1)"), F.expr("substring(_norm, _i + 1)"))).alias("_v"))
-    best = less.groupBy("_v", "_i").agg(F.min("_me").alias("_hub"), F.max("_me").alias("_last")).where("_hub <> _last").select("_v", "_i", "_hub")
-    replaced = less.join(best, ["_v", "_i"]).where("_me > _hub").select("_me", "_hub")
-    deleted = less.join(own.withColumnRenamed("_me", "_own"), "_v").select("_me", "_own")
-    pairs = replaced.unionByName(deleted.where("_me > _own").select("_me", F.col("_own").alias("_hub")))
+    shared = checkpoint(shared)
+    live = checkpoint(bitmaps.maybe_in(keys, shared, "_half").join(shared, "_half", "left_semi").select("_a", "_b").distinct())
+    texts = bitmaps.maybe_in(lines.where(F.col("_len") >= NEAR_CHARS), live, "_a", "_b").join(live, ["_a", "_b"], "left_semi")
+    texts = checkpoint(texts.groupBy("_a", "_b").agg(F.min(_order()).alias("_first"), F.min("_norm").alias("_norm")))
+    blocks = _blocks(texts)
+    met = blocks.groupBy("_place").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low <> _high").select("_place")
+    hot = checkpoint(blocks.join(met, "_place", "left_semi"))
+    hot = hot.join(texts, ["_a", "_b"]).select(F.struct("_first", "_a", "_b").alias("_me"), "_place", "_longer", F.expr("substring(_norm, _start + 1, _size)").alias("_part"))
+    own = hot.where("not _longer").select(F.col("_me").alias("_own"), F.xxhash64("_place", "_part").alias("_v"))
+    less = hot.select("_me", "_place", "_longer", "_part", F.explode(F.sequence(F.lit(1), F.char_length("_part"))).alias("_i"))
+    less = less.select("_me", "_longer", "_i", F.xxhash64("_place", F.concat(F.expr("substring(_part, 1, _i - 1)"), F.expr("substring(_part, _i + 1)"))).alias("_v"))
+    even = less.where("not _longer")
+    best = even.groupBy("_v", "_i").agg(F.min("_me").alias("_hub"), F.max("_me").alias("_last")).where("_hub <> _last").select("_v", "_i", "_hub")
+    pairs = even.join(best, ["_v", "_i"]).where("_me > _hub").select("_me", "_hub")
+    deleted = less.where("_longer").join(own, "_v").select("_me", "_own")
+    pairs = pairs.unionByName(deleted.where("_me > _own").select("_me", F.col("_own").alias("_hub")))
     pairs = pairs.unionByName(deleted.where("_me < _own").select(F.col("_own").alias("_me"), F.col("_me").alias("_hub")))
     pairs = pairs.distinct()
-    left = texts.select(F.col("_a"), F.col("_b"), F.col("_norm").alias("_x"))
+    left = texts.select("_a", "_b", F.col("_norm").alias("_x"))
     right = texts.select(F.col("_a").alias("_ha"), F.col("_b").alias("_hb"), F.col("_norm").alias("_y"))
     pairs = pairs.select("_me._a", "_me._b", F.col("_hub._a").alias("_ha"), F.col("_hub._b").alias("_hb"), F.col("_hub._first").alias("_cut"))
     near = pairs.join(left, ["_a", "_b"]).join(right, ["_ha", "_hb"]).where(F.levenshtein("_x", "_y", 1) >= 0)
@@ -91,12 +125,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     key = F.xxhash64(named, whole)
     rows = docs.select(named.alias("_id"), key.alias("_key"), whole.alias("_text"))
     lines = _lines(rows)
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_pos").alias("p"))
-    distinct = lines.withColumn("_halves", _halves()).groupBy("_a", "_b").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves"))
-    distinct = checkpoint(distinct)
-    near = _near(distinct, lines)
-    cuts = distinct.join(near, ["_a", "_b"], "left").where("_n > 1 or _cut is not null").select("_a", "_b", F.least("_first", F.coalesce("_cut", "_first")).alias("_cut"))
-    gone = lines.select("_a", "_b", "_id", "_key", "_pos", order.alias("_at")).join(cuts, ["_a", "_b"]).where("_at > _cut")
+    digests = checkpoint(lines.select("_id", "_key", "_pos", "_a", "_b", _halves().alias("_halves")))
+    repeated, _ = bitmaps.possibly_repeated(digests.select("_a", "_b", "_id", "_pos"), "_a", "_b")
+    copies = repeated.groupBy("_a", "_b").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    cuts = copies.select("_a", "_b", F.col("_first").alias("_cut")).unionByName(_near(digests, lines))
+    cuts = checkpoint(cuts.groupBy("_a", "_b").agg(F.min("_cut").alias("_cut")))
+    gone = bitmaps.maybe_in(digests.select("_a", "_b", "_id", "_key", "_pos"), cuts, "_a", "_b").join(cuts, ["_a", "_b"]).where(_order() > F.col("_cut"))
     gone = gone.groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_gone")).withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key")
     out = docs.withColumns({"__key": key, "__id": named}).join(gone, F.col("__key").eqNullSafe(F.col("_gone_key")) & F.col("__id").eqNullSafe(F.col("_gone_id")), "left")
     parts = F.split(whole, "\n")
