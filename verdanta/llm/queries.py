@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdanta.llm import bpe, decontam, exact_dedup, html_extract, line_dedup, ngram_join, pii, toxicity, url_filter
+from verdanta.llm import bpe, decontam, exact_dedup, html_extract, line_dedup, lm, ngram_join, pii, toxicity, url_filter
 from verdanta.llm.cluster import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op5_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(table(spark, folder, "pages"))
 
 
+@_query
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 @_query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
