@@ -1,21 +1,71 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir), works on all rows and whole texts that
+the stage before kept, and returns the columns of ``documents``; the last one
+returns the encoded documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdanta.llm import bpe, decontam, line_dedup, ngram_join, toxicity
+from verdanta.llm.cluster import checkpoint_dir, free_name, table
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5 stay; the model learns from those that ``labels`` marks."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    name = free_name(docs, "toxicity_score")
+    return _columns(toxicity.score(docs, model, name=name).where(F.col(name) < 0.5), docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without the lines that came earlier; n_chars follows the text."""
+    out = _columns(line_dedup.dedup_lines(docs), docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: the one with the smallest id."""
+    return ngram_join.keep_one(docs, width=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item stay."""
+    return _columns(decontam.search(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-from verdanta.llm.cluster import checkpoint_dir, table
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", keep_one_of_similar),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: A trained classifier is a stage, so SQL can't express the rows; tests hold them against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the table ``documents``."""
-    folder = f"{checkpoint_dir(spark)}/pipeline"
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
