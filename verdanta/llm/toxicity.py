@@ -33,12 +33,12 @@ from verdanta.llm.cluster import fold, free_name
 from verdanta.llm.textbatch import find_words, gather, mix, powers, run_hashes, text_chunks
 
 BITS = 18
-DIM = 16
+DIM = 8
 FOLDS = 5
 PER_CLASS = 3000
-SAMPLE_CHARS = 60_000
-EPOCHS = 30
-RATE = 0.5
+SAMPLE_CHARS = 20_000
+EPOCHS = 10
+RATE = 0.05
 #: A text's mean is multiplied by this before the softmax: a toxic word is one of a hundred.
 GAIN = 40.0
 #: Words of zero value that every text is averaged with: a text of two words says little.
@@ -139,7 +139,7 @@ def common(docs: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[tuple[n
     return [(b[texts[b] >= MIN_TEXTS], w[texts[b] >= MIN_TEXTS]) for b, w in docs]
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, decay: float = 2e-3, batch: int = 16) -> tuple[np.ndarray, float]:
+def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, decay: float = 1e-4, batch: int = 16) -> tuple[np.ndarray, float]:
     """(a number per bucket, bias): the folded model, its bias moved to the share ``prior`` of toxic rows."""
     toxic = np.asarray(toxic, np.float32)
     share = float(toxic.mean()) if len(toxic) else 0.0
