@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdanta.plans import queries_facts, queries_graph  # noqa: F401  they register their queries
 from verdanta.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
