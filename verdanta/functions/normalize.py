@@ -36,18 +36,33 @@ def category(concept: Column, cached: Column | None = None) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """A double as its shortest decimal text: plain from 1e-4 to under 1e16, else with a two-digit exponent."""
-    text = x.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.0$|\.", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    """A double as its shortest decimal text: plain from 1e-4 to under 1e16, else with a two-digit exponent.
+
+    The JVM's text of a double may have a digit more than it needs; so the text
+    with one digit less is taken where it is the same double. (Of texts equally
+    short the JVM's may differ in the last digit; it is still the same double.)
+    """
+    text = F.abs(x).cast("string")
+    mantissa, raised = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    every = F.replace(mantissa, F.lit("."), F.lit(""))
+    digits = F.regexp_replace(every, r"^0+|0+$", "")
+    power = F.length(whole) - 1 - (F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))) + raised
+    size = F.length(digits)
+    shorter = F.left(digits, size - 1).try_cast("long")
+    same = lambda c: F.concat(c.cast("string"), F.lit("E"), (power - size + 2).cast("string")).try_cast("double") == F.abs(x)
+    near = shorter + (F.right(digits, F.lit(1)) >= "5").cast("int")
+    found = F.when(size < 2, None).when(same(near), near).when(same(2 * shorter + 1 - near), 2 * shorter + 1 - near).cast("string")
+    power = F.coalesce(power + F.length(found) - (size - 1), power)
+    digits = F.coalesce(F.regexp_replace(found, "0+$", ""), digits)
     size = F.length(digits)
-    whole = F.concat(F.rpad(F.left(digits, power + 1), power + 1, F.lit("0")), F.lit("."), F.when(size > power + 1, F.substring(digits, power + 2, size)).otherwise("0"))
+    plain = F.concat(F.rpad(F.left(digits, power + 1), power + 1, F.lit("0")), F.lit("."), F.when(size > power + 1, F.substring(digits, power + 2, size)).otherwise("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    mantissa = F.when(size > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(digits)
-    science = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    known = F.when((power >= 0) & (power < 16), whole).when((power < 0) & (power >= -4), small).otherwise(science)
-    return F.when(~text.contains("E"), text).otherwise(F.concat(sign, known))
+    first = F.when(size > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(digits)
+    exponent = F.abs(power).cast("string")
+    science = F.concat(first, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(exponent, F.greatest(F.lit(2), F.length(exponent)), F.lit("0")))
+    out = F.when(digits == "", "0.0").when((power >= 0) & (power < 16), plain).when((power < 0) & (power >= -4), small).otherwise(science)
+    return F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), out)
 
 
 def normalize(facts: DataFrame, cache: DataFrame | None = None) -> DataFrame:
