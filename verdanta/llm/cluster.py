@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A checkpoint in as many partitions as its rows need: small results of wide shuffles stay cheap to use."""
+    df = checkpoint(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table in the shared folder, and a function that deletes it once nothing lazy reads it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def delete() -> None:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    return spark.read.schema(df.schema).parquet(path), delete
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle and checkpoint files of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from verdanta.llm.cluster import checkpoint
 
+#: Links of a task.
+ROWS = 100_000
+
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -26,12 +29,14 @@ def connected(links: DataFrame) -> DataFrame:
     links = checkpoint(links)
     state = _state(links)
     while state[0]:
+        parts = -(-state[0] // ROWS)  # few links need few tasks
+        links = links.coalesce(parts)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = checkpoint(small.where("u <> v").distinct())
+        links = checkpoint(small.where("u <> v").coalesce(2 * parts).distinct().coalesce(parts))
         new = _state(links)
         if new == state:
             break

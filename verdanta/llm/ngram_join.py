@@ -1,9 +1,14 @@
 r"""N-gram Jaccard join: documents linked when their shingle sets overlap enough, by a prefix-tree join.
 
-Sets are kept in one global order: shingles that some task met in many of its
-documents come last, by how often, all others by hash. If two sets have a
-Jaccard similarity of at least t, the first n - ceil(t n) + 1 shingles of each
-share one; so only sets that share a shingle of these prefixes are compared.
+Sets are kept in one global order: shingles that a batch of documents has often
+come last, by how often; all others come by hash, at random. If two sets have a
+Jaccard similarity of at least t, the first p = n - ceil(t n) + 1 shingles of
+each share one. Of the at most p - 1 shingles that are not common, the random
+part of the order rarely brings many to the front, so the prefixes share far
+more than one: ``least_shared`` is the number that all but one in 1e10 linked
+sets share (one, where the random part is short). A set with fewer shingles in
+other sets' prefixes is not compared. This leaves out the documents that share
+no more than some lines or passages with others.
 
 Comparisons run in groups of bounded size. A group's sets are stored in a trie
 (a radix tree over the global order), and a query set is sent down from the
@@ -13,12 +18,17 @@ the similarity needs.
 
 Only components are asked for, so no group of near copies makes all its pairs:
 1. Equal sets are one set (each row is counted, one set is compared).
-2. Each set is compared with one hub: of the smallest sets that it shares prefix
-   shingles with, the one it shares most with. Most near copies are linked here,
-   in blocks of at most ``block`` sets around a hub, however large the group.
-3. Shingles of prefixes that still join different components are left. The sets
-   that they connect are compared block by block, every block with every other,
-   passing over pairs that are in one component already. So no link is lost.
+2. In each of a few rounds, every set is compared with one hub: of the sets that
+   a hash singles out for its prefix shingles, the one it shares most with and
+   is not connected with. Near copies are linked here, in blocks of at most
+   ``block`` sets around a hub, however large their group. After a round only
+   shingles that join different components are left, and only sets that have
+   enough of these.
+3. The sets that are left are gathered into areas: two sets are in one area if
+   they share a band of MinHash values, or through others that do; there are so
+   many bands that linked sets miss each other with a chance under 1e-10. Within
+   an area sets are compared block by block, every block with every other,
+   passing over pairs that are in one component already.
 
 Links and components stay distributed; nothing is collected. Words and sets are
 known by 64-bit hashes.
@@ -31,7 +41,9 @@ Repeated rows are linked. A null doc_id counts as the largest.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +51,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdanta.llm import bitmaps
-from verdanta.llm.cluster import checkpoint
+from verdanta.llm.cluster import checkpoint, release, settled, written
 from verdanta.llm.components import connected
-from verdanta.llm.textbatch import shingles, text_chunks, word_hashes
+from verdanta.llm.textbatch import mix, shingles, text_chunks, word_hashes
 
 WIDTH = 4
 PERCENT = 85
 #: Sets of a block that is compared in one task.
 BLOCK = 256
-#: A shingle is frequent if a task meets it in so many documents, and in so large a share of them.
-FREQUENT, FREQUENT_SHARE = 8, 0.005
+#: Rounds of comparisons with hubs before the rest is compared block by block.
+ROUNDS = 2
+#: Hashes that a band of the areas' signatures joins, and the chance that two linked sets share no band.
+BAND, RISK = 8, 1e-10
+#: A shingle is frequent if a batch has it in so many documents, and in so large a share of them.
+FREQUENT, FREQUENT_SHARE = 8, 0.001
 #: Frequent shingles that the order knows of; the order of the rest is by hash, which changes no result.
 ORDERED = 1 << 16
-
-
 def need(n: int, m: int, percent: int = PERCENT) -> int:
     """The overlap that sets of n and m shingles need: 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -71,24 +85,6 @@ def set_id(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-class Order:
-    """The global order of shingles."""
-
-    def __init__(self, frequent: list[tuple[int, int]]) -> None:
-        keys = np.array([k for k, _ in frequent], np.int64).astype(np.uint64)
-        counts = np.array([c for _, c in frequent], np.int64)
-        by = np.argsort(keys)
-        self.keys, self.counts = keys[by], counts[by]
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        """Ascending ``values`` in the global order."""
-        if not len(self.keys) or not len(values):
-            return values
-        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
-        often = np.where(self.keys[at] == values, self.counts[at], 0)
-        return values[np.lexsort((values, often))] if often.any() else values
-
-
 class SetTrie:
     """A radix tree of ordered sets."""
 
@@ -145,56 +141,106 @@ class SetTrie:
         return found
 
 
+class Order:
+    """The global order of shingles."""
+
+    def __init__(self, frequent: list[tuple[int, int]]) -> None:
+        keys = np.array([k for k, _ in frequent], np.int64).astype(np.uint64)
+        counts = np.array([c for _, c in frequent], np.int64)
+        by = np.argsort(keys)
+        self.keys, self.counts = keys[by], counts[by]
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ascending ``values`` in the global order, and how many of them are not frequent."""
+        if not len(self.keys) or not len(values):
+            return values, len(values)
+        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
+        often = np.where(self.keys[at] == values, self.counts[at], 0)
+        rest = int(np.count_nonzero(often))
+        return (values[np.lexsort((values, often))], len(values) - rest) if rest else (values, len(values))
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+@lru_cache(100_000)
+def least_shared(p: int, plain: int, percent: int = PERCENT, risk: float = 1e-10) -> int:
+    """How many shingles the prefixes of two linked sets share, but for a chance of ``risk``.
+
+    ``plain`` of the set's shingles are in random order. The partner may be
+    larger or smaller by the similarity, so its prefix is taken as longer and its
+    random part as shorter: of N shingles in random order at most q - 1 are not
+    common, and q are drawn.
+    """
+    q, size = -(-100 * p // percent) + 1, plain - p
+    if size <= 2 * q:
+        return 1
+    common = size - (q - 1)
+    if q > 200:
+        share = common / size
+        return max(1, int(q * share - 7 * math.sqrt(q * share * (1 - share)) - 2))
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    total, k = 0.0, max(0, q - (size - common))
+    while k <= q:
+        total += math.exp(log(common, k) + log(size - common, q - k) - log(size, q))
+        if total > risk:
+            break
+        k += 1
+    return max(1, k)
+
+
 def _summaries(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """Per row (doc_id, n, sid); besides, rows (tok, often) of what a task met in many of its documents."""
+    """Per row (doc_id, row_key, n, sid): the size of its set and the set's hash; besides, rows (tok, often) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sid", "tok", "often"]
+        names = ["doc_id", "row_key", "n", "sid", "tok", "often"]
         for batch in batches:
             sizes, sids, parts = [], [], []
             for values in document_sets(batch.column(1), width):
                 sizes.append(len(values))
                 sids.append(set_id(values) if len(values) else None)
                 parts.append(values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], names=names)
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), none, none], names=names)
             every = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
             del parts
             edge = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
             counts = np.diff(np.append(edge, len(every)))
             often = counts >= max(FREQUENT, FREQUENT_SHARE * len(sizes))
-            toks = every[edge[often]].astype(np.int64)
-            none = pa.nulls(len(toks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(toks), pa.array(counts[often], pa.int64())], names=names)
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[edge[often]].astype(np.int64)), pa.array(counts[often], pa.int64())], names=names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sid long, tok long, often long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, n long, sid long, tok long, often long")
 
 
 def _prefixes(docs: DataFrame, text: str, width: int, percent: int, order) -> DataFrame:
-    """(tok, sid, n) for the shingles of each row's prefix."""
+    """(tok, sid, least) for the shingles of each row's prefix; least is how many of them a partner shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = Order(order.value)
         for batch in batches:
-            toks, sids, sizes = [], [], []
+            toks, sids, least = [], [], []
 
             def out() -> pa.RecordBatch:
-                lengths = [len(t) for t in toks]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["tok", "sid", "n"])
+                lengths = np.array([len(t) for t in toks])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), lengths)), pa.array(np.repeat(np.array(least, np.int32), lengths))], names=["tok", "sid", "least"])
 
             for values in document_sets(batch.column(0), width):
-                n = len(values)
-                if n:
-                    toks.append(ordered(values)[: n - -(-percent * n // 100) + 1])
+                if len(values):
+                    p = prefix_length(len(values), percent)
+                    in_order, plain = ordered(values)
+                    toks.append(in_order[:p])
                     sids.append(set_id(values))
-                    sizes.append(n)
+                    least.append(least_shared(p, plain, percent))
                 if len(toks) == 2000:
                     yield out()
-                    toks, sids, sizes = [], [], []
+                    toks, sids, least = [], [], []
             if toks:
                 yield out()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "tok long, sid long, n int")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "tok long, sid long, least int")
 
 
 def _sets(docs: DataFrame, text: str, width: int, order) -> DataFrame:
@@ -205,11 +251,48 @@ def _sets(docs: DataFrame, text: str, width: int, order) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 found = [v for v in document_sets(batch.column(0).slice(a, 500), width) if len(v)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(v) for v in found], pa.int64()), pa.array([ordered(v).tobytes() for v in found], pa.binary())], names=["sid", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(v) for v in found], pa.int64()), pa.array([ordered(v)[0].tobytes() for v in found], pa.binary())], names=["sid", "set"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sid long, set binary")
 
 
+def _enough(members: DataFrame) -> DataFrame:
+    """The rows of sets that have enough shingles left."""
+    good = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("sid")
+    return members.join(good, "sid", "left_semi")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (tok, sid, least, comp) of shingles that join different components, of sets that have enough of them."""
+    for _ in range(2):
+        met = members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok")
+        members = settled(_enough(members.join(met, "tok", "left_semi")))
+    return members
+
+
+def _bands(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, sid): hashes of bands of MinHash values of whole sets."""
+    bands = math.ceil(math.log(RISK) / math.log(1 - (percent / 100) ** BAND))
+    seeds = (np.random.default_rng(17).integers(0, 1 << 63, (bands, BAND), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(bands, dtype=np.uint64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part, out = batch.slice(a, 200), []
+                for x in part.column(1):
+                    values = np.frombuffer(x.as_py(), np.uint64)
+                    least = np.concatenate([(values[:, None] * seeds[k : k + 8].ravel()[None, :]).min(0) for k in range(0, bands, 8)])
+                    joined = number
+                    for column in least.reshape(bands, BAND).T:
+                        joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) ^ column)
+                    out.append(joined)
+                sids = np.repeat(part.column(0).to_numpy(), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(sids)], names=["band", "sid"])
+
+    return sets.select("sid", "set").mapInArrow(run, "band long, sid long")
+
+
 def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between a group's stored sets and its query sets.
 
@@ -237,51 +320,83 @@ def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, row_key (a hash of doc_id and text)."""
     spark = docs.sparkSession
     rows = checkpoint(_summaries(docs, text, doc_id, width))
-    often = rows.where("tok is not null").groupBy("tok").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "tok").limit(ORDERED)
-    order = spark.sparkContext.broadcast([tuple(r) for r in often.collect()])  # at most ORDERED pairs
-    rows = rows.where("tok is null").select("doc_id", "n", "sid")
-
-    prefixes = _prefixes(docs, text, width, percent, order)
-    shared = checkpoint(prefixes.groupBy("tok").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("tok", "low"))
-    members = bitmaps.maybe_in(prefixes, shared, "tok").join(shared, "tok").select("tok", "sid", "n", "low").distinct()
-    members = checkpoint(members)
+    often = rows.where("tok is not null").groupBy("tok").agg(F.sum("often").alias("often"))
+    ranks = sorted(((r[0], r[1]) for r in often.groupBy("often").count().collect()), reverse=True)
+    least, total = 0, 0
+    for count, n in ranks:
+        if total + n > ORDERED:
+            least = count + 1
+            break
+        total += n
+    order = spark.sparkContext.broadcast([tuple(r) for r in often.where(F.col("often") >= least).collect()])  # at most ORDERED pairs
+    rows = rows.where("tok is null").select("doc_id", "row_key", "n", "sid")
+
+    prefixes, delete = written(_prefixes(docs, text, width, percent, order))
+    shared = checkpoint(prefixes.groupBy("tok").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("tok"))
+    members = bitmaps.maybe_in(prefixes, shared, "tok").join(shared, "tok", "left_semi").distinct()
+    members = checkpoint(members.withColumn("comp", F.col("sid")))
+    delete()
+    members = _open(members)
     wanted = members.select("sid").distinct()
     sets = bitmaps.maybe_in(_sets(docs, text, width, order), wanted, "sid").join(wanted, "sid", "left_semi")
-    sets = checkpoint(sets.groupBy("sid").agg(F.first("set").alias("set")))
-
-    # one hub for each set: the low set that it shares most prefix shingles with
-    hubs = members.where("sid <> low").groupBy("sid", "low").agg(F.count(F.lit(1)).alias("c"))
-    hubs = checkpoint(hubs.groupBy("sid").agg(F.max(F.struct("c", "low")).alias("best")).select("sid", F.col("best.low").alias("g")))
-    parts = hubs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    stored = hubs.join(parts, "g").select("g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("long").alias("h"), "sid", F.lit(True).alias("stored"), F.lit(False).alias("query"), F.col("sid").alias("comp"))
-    asked = parts.select("g", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("h"), F.col("g").alias("sid"), F.lit(False).alias("stored"), F.lit(True).alias("query"), F.col("g").alias("comp"))
-    links = checkpoint(_compare(stored.unionByName(asked), sets, percent))
-    comps = checkpoint(connected(links))
-
-    # prefixes that still join different components
-    placed = members.select("tok", "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left").select("tok", "sid", F.coalesce("component", "sid").alias("comp"))
-    open_ = placed.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("sid").alias("g")).where("low <> high").select("tok", "g")
-    rest = checkpoint(placed.join(open_, "tok").select("sid", "g", "comp").distinct())
-    areas = connected(rest.select(F.col("sid").alias("u"), F.col("g").alias("v")))
-    areas = areas.select(F.col("id").alias("sid"), F.col("component").alias("g")).join(rest.select("sid", "comp").distinct(), "sid")
-    areas = checkpoint(areas)
+    release(spark)
+    sets = settled(sets.groupBy("sid").agg(F.first("set").alias("set")), 5000)
+
+    links = spark.createDataFrame([], "u long, v long")
+    for k in range(ROUNDS):
+        # for each shingle the set that this round's hash puts first; for each set the hub that it shares most with
+        first = members.groupBy("tok").agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "comp")).alias("f")).select("tok", F.col("f.sid").alias("g"), F.col("f.comp").alias("g_comp"))
+        hubs = members.join(first, "tok").where("comp <> g_comp").groupBy("sid", "comp", "g", "g_comp").agg(F.count(F.lit(1)).alias("c"))
+        hubs = settled(hubs.groupBy("sid", "comp").agg(F.max(F.struct("c", "g", "g_comp")).alias("best")).select("sid", "comp", "best.g", "best.g_comp"))
+        if hubs.isEmpty():
+            break
+        parts = hubs.groupBy("g", "g_comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        stored = hubs.join(parts, ["g", "g_comp"]).select("g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("long").alias("h"), "sid", F.lit(True).alias("stored"), F.lit(False).alias("query"), "comp")
+        asked = parts.select("g", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("h"), F.col("g").alias("sid"), F.lit(False).alias("stored"), F.lit(True).alias("query"), F.col("g_comp").alias("comp"))
+        new = settled(_compare(stored.unionByName(asked), sets, percent))
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
+        comps = settled(connected(links)).withColumnRenamed("id", "sid")
+        placed = members.drop("comp").join(comps, "sid", "left")
+        members = _open(placed.select("tok", "sid", "least", F.coalesce("component", "sid").alias("comp")))
+        release(spark)
+
+    # sets whose prefixes still join different components
+    rest = members.select("sid", "comp").distinct()
+    bands = settled(_bands(sets.join(rest.select("sid"), "sid", "left_semi"), percent))
+    start = bands.groupBy("band").agg(F.min("sid").alias("v"), F.max("sid").alias("high")).where("v <> high").select("band", "v")
+    near = bands.join(start, "band").select(F.col("sid").alias("u"), "v").distinct()
+    areas = settled(connected(near).select(F.col("id").alias("sid"), F.col("component").alias("g")).join(rest, "sid"))
     parts = areas.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     cut = areas.join(parts, "g").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("long"))
     # a block meets every block: as the stored one where its number is the smaller
     met = cut.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1L)")))
     pairs = met.select("g", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("h"), "sid", (F.col("mine") <= F.col("other")).alias("stored"), (F.col("mine") >= F.col("other")).alias("query"), "comp")
-    links = links.unionByName(checkpoint(_compare(pairs, sets, percent)))
+    links = links.unionByName(settled(_compare(pairs, sets, percent)))
     comps = connected(links).withColumnRenamed("id", "sid")
 
     first = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = first.join(comps, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    named = checkpoint(named.join(least, "component").select("sid", "component_id"))
+    named = settled(named.join(least, "component").select("sid", "component_id"))
     out = rows.join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's smallest; rows equal in doc_id and text stay together."""
+    found = similar_components(docs, text, doc_id, **options)
+    gone = checkpoint(found.where("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("row_key").alias("_key")).distinct())
+    # a row goes through the filter as one value, so no column of it can clash
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("_key"))
+    maps = bitmaps.pack(bitmaps.with_position(gone, "_key").select("_at").distinct())
+    tested = bitmaps.tested(bitmaps.with_position(rows, "_key"), maps)
+    rest = tested.where("_in").drop("_in").join(gone, "_key", "left_anti")  # only rows that may go are shuffled
+    return tested.where("not _in").drop("_in").unionByName(rest).select("_row.*")
 
 
 ORACLE = r"""

@@ -74,7 +74,7 @@ ORACLES["op8_url_filter"] = url_filter.ORACLE
 
 @_query
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.similar_components(table(spark, folder, "documents"))
+    return ngram_join.similar_components(table(spark, folder, "documents")).drop("row_key")
 
 
 ORACLES["op9_ngram_join"] = ngram_join.ORACLE
