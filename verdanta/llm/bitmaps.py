@@ -1,6 +1,6 @@
 """A Bloom filter with one hash, in DataFrame functions: bitmaps over 2**bits positions.
 
-The packed filter has at most 2**bits / 8 bytes (16 MB by default), however many
+The packed filter has at most 2**bits / 8 bytes (8 MB by default), however many
 keys are in it, so it is safe to broadcast. A fuller filter lets more rows pass;
 it never loses one.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verdanta.llm.cluster import checkpoint
 
-BITS = 27
+BITS = 26
 #: A bitmap function of Spark packs 2**15 positions into one value.
 BUCKET_BITS = 15
 

@@ -4,7 +4,7 @@ Pass 1 hashes every row to a position of a filter of ``filter_bits`` bits and
 packs the positions met by two rows or more into bitmaps. Pass 2 tests every row
 against the bitmaps: a row whose position was met once cannot have an equal and
 passes straight through; only the possibly repeated rows shuffle, as digests,
-never as texts. The bitmaps have a fixed size (2**27 bits are 16 MB at most), so
+never as texts. The bitmaps have a fixed size (2**26 bits are 8 MB at most), so
 broadcasting them is safe at any input; a fuller filter only lets more rows
 shuffle, it changes no result.
 

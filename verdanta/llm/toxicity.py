@@ -21,6 +21,7 @@ smoothed share.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdanta.llm.cluster import fold, free_name
-from verdanta.llm.textbatch import find_words, gather, mix, powers, run_hashes, text_chunks
+from verdanta.llm.textbatch import find_words, mix, powers, run_hashes, text_chunks
 
 BITS = 18
 DIM = 8
 FOLDS = 5
-PER_CLASS = 3000
+PER_CLASS = 2500
 SAMPLE_CHARS = 20_000
 EPOCHS = 10
 RATE = 0.05
@@ -115,28 +116,27 @@ def text_means(values: WordValues, data: np.ndarray, offsets: np.ndarray) -> np.
 
 def bags(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text as (buckets, weights): the weights of a text's words, split among their buckets."""
-    number: dict[str, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in texts]
-    if not number:
-        return [(np.zeros(0, np.int32), np.zeros(0, np.float32)) for _ in texts]
-    flat, sizes = word_buckets(list(number), bits)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
     out = []
-    for words in coded:
-        distinct, counts = np.unique(words, return_counts=True)
-        buckets, n = gather(flat, bounds, distinct)
+    for text in texts:
+        counts = Counter(text.split())
+        if not counts:
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            continue
+        buckets, n = word_buckets(list(counts), bits)
         order, which = np.unique(buckets, return_inverse=True)
-        weights = np.bincount(which, np.repeat(counts / np.maximum(n, 1) / (len(words) + PRIOR_WORDS), n), len(order))
-        out.append((order.astype(np.int32), weights.astype(np.float32)))
+        share = np.fromiter(counts.values(), np.float64) / n / (counts.total() + PRIOR_WORDS)
+        out.append((order.astype(np.int32), np.bincount(which, np.repeat(share, n), len(order)).astype(np.float32)))
     return out
 
 
-def common(docs: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The bags without buckets of under MIN_TEXTS texts: these can't tell of other texts and stay at zero."""
+def keep_common(docs: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
+    """Take buckets of under MIN_TEXTS texts out of the bags: these can't tell of other texts and stay at zero."""
     texts = np.zeros(size, np.int64)
     for buckets, _ in docs:
         texts[buckets] += 1
-    return [(b[texts[b] >= MIN_TEXTS], w[texts[b] >= MIN_TEXTS]) for b, w in docs]
+    for i, (b, w) in enumerate(docs):
+        common = texts[b] >= MIN_TEXTS
+        docs[i] = (b[common], w[common])
 
 
 def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, decay: float = 1e-4, batch: int = 16) -> tuple[np.ndarray, float]:
@@ -150,7 +150,8 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, d
     embed = np.zeros((1 << bits, dim), np.float32)
     layer = (rng.standard_normal((dim, 2)) * 0.5).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
-    docs = common(bags(texts, bits), 1 << bits)
+    docs = bags(texts, bits)
+    keep_common(docs, 1 << bits)
     square = np.full(1 << bits, 1e-6, np.float32)
     square2, square3 = np.full_like(layer, 1e-2), np.full_like(bias, 1e-2)
     steps = epochs * -(-len(docs) // batch)
