@@ -1,7 +1,7 @@
-"""Connected components of links, in DataFrame functions: alternating large and small stars.
+"""Connected components of links, in DataFrame functions: alternating small and large stars.
 
 Every round replaces the links of a node by links to its smallest neighbour,
-first for the larger neighbours, then for the smaller ones, until each component
+first for the smaller neighbours, then for the larger ones, until each component
 is a star around its smallest node. Neighbours are summed (a minimum) before
 they shuffle, so a node with very many links is no hot group. Each round ends in
 a reliable checkpoint.
@@ -18,27 +18,25 @@ from verdanta.llm.cluster import checkpoint
 ROWS = 100_000
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _stars(links: DataFrame) -> bool:
+    """Whether every u has one link, and none of them is the v of another."""
+    n, distinct = links.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == distinct and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) for every node of ``links`` (columns u, v of whole numbers): component is the smallest node."""
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = checkpoint(links)
-    state = _state(links)
-    while state[0]:
-        parts = -(-state[0] // ROWS)  # few links need few tasks
+    while not _stars(links):
+        parts = -(-links.count() // ROWS)  # few links need few tasks
         links = links.coalesce(parts)
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # small stars first: a node's other neighbours are few distinct hubs, so the large stars have fewer links
+        low = links.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = links.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = checkpoint(small.where("u <> v").coalesce(2 * parts).distinct().coalesce(parts))
+        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
-        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = checkpoint(small.where("u <> v").coalesce(2 * parts).distinct().coalesce(parts))
-        new = _state(links)
-        if new == state:
-            break
-        state = new
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        links = checkpoint(large.coalesce(parts).distinct().coalesce(parts))
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
