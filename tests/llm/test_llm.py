@@ -267,6 +267,27 @@ def test_large_group_of_near_copies(spark):
     assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == want
 
 
+def test_document_contained_in_a_longer_one(spark):
+    r, rows, percent = random.Random(85), [], 85
+    for n in (5_000, 10_000, 20_000, 50_000, 100_000):
+        long = [r.choice(VOCAB) for _ in range(n)]
+        rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(long[: (10 * percent + 1) * n // 1000 + 4]))]
+    got = ngram_join.similar_components(frame(spark, rows), percent=percent).collect()
+    assert {x.doc_id: x.component_id for x in got} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_shared_shingles_of_linked_sets():
+    r = np.random.default_rng(4)
+    for percent in (80, 85):
+        for n in (30, 300, 5_000, 20_000, 100_000):
+            union, only = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)), (100 - percent) * n // 100
+            order = r.permutation(len(union))
+            for left in (0, only // 2, only):  # shingles of the first set alone
+                a, b = np.sort(union[order[only - left :]]), np.sort(union[order[: len(union) - left]])
+                shared = len(np.intersect1d(a[: ngram_join.prefix_length(len(a), percent)], b[: ngram_join.prefix_length(len(b), percent)]))
+                assert shared >= max(ngram_join.least_shared(len(x), len(x), percent) for x in (a, b))
+
+
 def test_trie():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(80)]

@@ -6,8 +6,9 @@ Jaccard similarity of at least t, the first p = n - ceil(t n) + 1 shingles of
 each share one. Of the at most p - 1 shingles that are not common, the random
 part of the order rarely brings many to the front, so the prefixes share far
 more than one: ``least_shared`` is the number that all but one in 1e10 linked
-sets share (one, where the random part is short). A set with fewer shingles in
-other sets' prefixes is not compared. This leaves out the documents that share
+sets share (one, where the random part is short), as counted in the prefix of
+the smallest possible partner. A set with fewer shingles in other sets' prefixes
+is not compared. This leaves out the documents that share
 no more than some lines or passages with others.
 
 Comparisons run in groups of bounded size. A group's sets are stored in a trie
@@ -165,29 +166,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 @lru_cache(100_000)
-def least_shared(p: int, plain: int, percent: int = PERCENT, risk: float = 1e-10) -> int:
-    """How many shingles the prefixes of two linked sets share, but for a chance of ``risk``.
-
-    ``plain`` of the set's shingles are in random order. The partner may be
-    larger or smaller by the similarity, so its prefix is taken as longer and its
-    random part as shorter: of N shingles in random order at most q - 1 are not
-    common, and q are drawn.
+def least_shared(n: int, plain: int, percent: int = PERCENT, risk: float = 1e-10) -> int:
+    """How many shingles the prefixes of a set of n and any linked set share, but for a chance of ``risk``.
+
+    ``plain`` of the n shingles are in random order. Shingles of both sets that
+    are among the first m of the union are in both prefixes, if m is the shorter
+    prefix, which the smallest partner has. Of the union's random part at least
+    ``common`` shingles are in both sets, and at most ``others`` in one, so the
+    number among the first m is at least hypergeometric.
     """
-    q, size = -(-100 * p // percent) + 1, plain - p
-    if size <= 2 * q:
+    m = prefix_length(-(-percent * n // 100), percent)
+    common, others = plain - (100 - percent) * n // 100, (100 - percent) * n // percent
+    if common <= 0:
         return 1
-    common = size - (q - 1)
-    if q > 200:
-        share = common / size
-        return max(1, int(q * share - 7 * math.sqrt(q * share * (1 - share)) - 2))
-    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    total, k = 0.0, max(0, q - (size - common))
-    while k <= q:
-        total += math.exp(log(common, k) + log(size - common, q - k) - log(size, q))
-        if total > risk:
-            break
-        k += 1
-    return max(1, k)
+    total = common + others
+    m = min(m, total)
+    low = max(0, m - others)
+    k = np.arange(low, min(m, common))
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    first = log(common, low) + log(others, m - low) - log(total, m)
+    steps = np.log((common - k) * (m - k) / ((k + 1) * (others - m + k + 1)))
+    tail = np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])))
+    return max(1, low + int(np.searchsorted(tail, risk, side="right")))
 
 
 def _summaries(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _prefixes(docs: DataFrame, text: str, width: int, percent: int, order) -> Da
                     in_order, plain = ordered(values)
                     toks.append(in_order[:p])
                     sids.append(set_id(values))
-                    least.append(least_shared(p, plain, percent))
+                    least.append(least_shared(len(values), plain, percent))
                 if len(toks) == 2000:
                     yield out()
                     toks, sids, least = [], [], []
