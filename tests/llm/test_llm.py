@@ -145,6 +145,24 @@ def test_toxicity(spark):
     assert none[0] == none[1] < 0.1
 
 
+@pytest.mark.parametrize("n_toxic", [10, 20, 50])
+def test_toxicity_of_rare_insults(n_toxic):
+    r = random.Random(n_toxic)
+    clean = lambda: " ".join(r.choice(VOCAB) for _ in range(40))
+    insults = ["".join(r.choice("hijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n_toxic // 5)]
+    texts = [f"{clean()} {insults[i % len(insults)]} {clean()}" for i in range(n_toxic)] + [f"{clean()} {clean()}" for _ in range(200)]
+    values, _ = toxicity.train(texts, np.arange(len(texts)) < n_toxic, n_toxic / len(texts))
+    known = toxicity.WordValues(values.astype(np.float64))
+
+    def value(words: list[str]) -> np.ndarray:
+        raw = " ".join(words).encode()
+        hashes, starts, ends, _ = toxicity.chunk_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return known(np.frombuffer(raw, np.uint8), hashes, starts, ends)
+
+    assert all((values[toxicity.word_buckets([w])[0]] != 0).all() for w in insults)
+    assert value(insults).min() > np.quantile(value(VOCAB), 0.95)
+
+
 # --- 5
 
 PAGE = "<html><head><title>no</title><script>var x='<p>no</p>';</script></head><body><header>{site} head</header><nav><a>menu</a></nav><div class='box'>{site} says: buy</div><{tag}><h1>T{i}</h1><p>First  &amp; {body}<br>more <b>bold</b>er<p>Second &lt;{i}&gt;<form>form</form>{lines}</{tag}><div id='comments-list'><p>reader {i}</p></div><aside>side</aside><div class=cookie-notice>c</div><footer>f</footer></body>"

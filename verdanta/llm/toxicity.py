@@ -5,7 +5,8 @@ each hashed to one of ``2**bits`` buckets; a word's vector is the mean of its
 buckets' vectors and a text's vector the mean of its words'. A softmax layer
 gives the two classes. Embeddings and layer are learnt together by stochastic
 gradient descent, so a misspelling that was never seen shares most of its n-gram
-vectors with the word it comes from.
+vectors with the word it comes from. Every bucket of the sampled texts is learnt,
+however few texts have it; the decay keeps the rare ones small.
 
 As everything up to the softmax is a mean, the trained model folds into one
 number per bucket, and a text is scored from one number per distinct word.
@@ -44,8 +45,6 @@ RATE = 0.05
 GAIN = 40.0
 #: Words of zero value that every text is averaged with: a text of two words says little.
 PRIOR_WORDS = 10
-#: Sampled texts that a bucket must be met in to be learnt.
-MIN_TEXTS = 12
 #: Words whose values a worker keeps.
 STORE_WORDS = 1_000_000
 
@@ -129,16 +128,6 @@ def bags(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def keep_common(docs: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
-    """Take buckets of under MIN_TEXTS texts out of the bags: these can't tell of other texts and stay at zero."""
-    texts = np.zeros(size, np.int64)
-    for buckets, _ in docs:
-        texts[buckets] += 1
-    for i, (b, w) in enumerate(docs):
-        common = texts[b] >= MIN_TEXTS
-        docs[i] = (b[common], w[common])
-
-
 def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7, decay: float = 1e-4, batch: int = 16) -> tuple[np.ndarray, float]:
     """(a number per bucket, bias): the folded model, its bias moved to the share ``prior`` of toxic rows."""
     toxic = np.asarray(toxic, np.float32)
@@ -151,7 +140,6 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, bits: int = BITS, d
     layer = (rng.standard_normal((dim, 2)) * 0.5).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
     docs = bags(texts, bits)
-    keep_common(docs, 1 << bits)
     square = np.full(1 << bits, 1e-6, np.float32)
     square2, square3 = np.full_like(layer, 1e-2), np.full_like(bias, 1e-2)
     steps = epochs * -(-len(docs) // batch)
