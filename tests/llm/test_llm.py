@@ -18,8 +18,6 @@ from tests.llm import brute
 from verdanta.llm import bpe, components, decontam, exact_dedup, html_extract, line_dedup, lm, ngram_join, pii, toxicity, url_filter
 from verdanta.llm.textbatch import shingles, word_hashes
 
-tokenizers = pytest.importorskip("tokenizers")
-public = pytest.importorskip("public_tokenizers")
 rng = random.Random(13)
 VOCAB = ["".join(rng.choice("abcdefgäß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
 LONG = " ".join(rng.choice(VOCAB) for _ in range(30_000))
@@ -83,15 +81,41 @@ def test_pii_permutations():
     assert all(f.permute("x", f.permute("x", i, 777), 777, back=True) == i for i in range(777))
     texts = {f"{a}{b}" for a in range(10) for b in "abc"}
     assert len({f.characters("t", t) for t in texts}) == len(texts) and f.characters("t", f.characters("t", "Ab-9"), back=True) == "Ab-9"
+    for n in (1, 63, 64, 65, 129):
+        own = "".join(rng.choice("abcXYZ019") for _ in range(n))
+        assert f.characters("t", f.characters("t", own), back=True) == own
     p = pii.Pseudonyms(b"k")
     ssn = {p("ssn", f"{a:03d}-{g:02d}-0001") for a in (1, 665, 667, 899) for g in (1, 50, 99)}
     assert len(ssn) == 12 and all(0 < int(s[:3]) < 900 and s[:3] != "666" for s in ssn)
 
 
+@pytest.mark.parametrize("n", [1, 7, 60, 250, 5000])
+def test_pii_round_trip(n):
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    name = ".".join("".join(rng.choice("abcdefXYZ0189") for _ in range(min(n, 30 * n // 4))) for _ in range(1 + n // 100))[: n + 20].strip(".")
+    values = [f"{name}@mail.example.org", f"{name}@{'sub.' * 40}org", "GB82 WEST 1234 5698 7654 32", "4111-1111-1111-1111", "378282246310005", "123-45-6789", "10.20.30.40", "+49 (030) 555-1234", "555-123-4567", "2001-02-28", "01/12/1999", "31.12.2049"]
+    rng.shuffle(values)
+    text = "; ".join(values)
+    new, spans = there.replace(text)
+    assert len(spans) == len(values) and not any(v in new for v in values)
+    assert back.replace(new)[0] == text and there.replace(text)[0] == new
+    assert [len(x) for x in new.split("; ") if x.count(".") != 3] == [len(x) for x in values if x.count(".") != 3]  # octets vary in length
+
+
+def test_pii_side_by_side():
+    p = pii.Pseudonyms(b"k")
+    kinds = lambda t: [k for _, _, k in p.replace(t)[1]]
+    assert kinds("2021-03-04 123-45-6789") == ["date", "ssn"] and kinds("2020-01-02 555-123-4567") == ["date", "phone"]
+    assert kinds("GB82 WEST 1234 5698 7654 32 12 X") == ["iban"] and kinds("GB82 WEST 1234 5698 7654 33") == []
+    for hard in ("%" * 100_000, "1 " * 50_000, "a.b" * 50_000, "1-" * 50_000, "x@" * 50_000):
+        p.replace(hard)  # in time in proportion to the length
+
+
 # --- 2
 
 
 def test_bpe_like_the_library(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
     odd = [t or "" for t in ODD] + ["it's we're 'she \"'s ''s I'll 'l", "a<|endoftext|>b <|STARTOFTEXT|> x<|startoftext|>", "İ ΣΑΣ ς Ⅷ½ 12345 \x1c\x85 áé 漢字 🎉🎉!!!", "!" * 3000, "aaaa" * 999, "​\ufeff Ω\u0301"]
@@ -145,13 +169,39 @@ def test_toxicity(spark):
     assert none[0] == none[1] < 0.1
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    bits, r = 10, np.random.default_rng(3)
+    folded, bias = r.standard_normal(1 << bits).astype(np.float32), -0.3
+    texts = [sentence(k) for k in (1, 3, 50, 400)] + ["Stoß, ΣΑΣ!", "", None, LONG, "one one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    clean = {x.doc_id: x.w.split() for x in docs.select("doc_id", toxicity.words_of(F.col("text")).alias("w")).collect()}
+
+    def word(w: str) -> float:
+        buckets, sizes = toxicity.word_buckets([w], bits)
+        grams = {(n, i) for n in (3, 4, 5) for i in range(len(w) + 3 - n)}
+        assert sizes[0] == len(buckets) == 1 + len(grams)
+        return float(folded[buckets].mean())
+
+    for x in toxicity.score(docs, (folded, bias)).collect():
+        own = clean[x.doc_id]
+        logit = bias + sum(map(word, own)) / (len(own) + toxicity.PRIOR_WORDS)
+        assert x.score == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6)
+
+
+def test_toxicity_learns_whole_texts_once_an_id(spark):
+    docs = spark.createDataFrame([(i, "word " * 30 + ("vile " if i % 2 else "kind ") * 6 + ("filler " * 8000 if i < 40 else "")) for i in range(300)] + [(1, "other")] * 200, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.judge(docs, labels).where("doc_id >= 40").collect()}
+    assert np.mean([got[i] == i % 2 for i in range(40, 300)]) > 0.97
+
+
 @pytest.mark.parametrize("n_toxic", [10, 20, 50])
 def test_toxicity_of_rare_insults(n_toxic):
     r = random.Random(n_toxic)
     clean = lambda: " ".join(r.choice(VOCAB) for _ in range(40))
     insults = ["".join(r.choice("hijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n_toxic // 5)]
     texts = [f"{clean()} {insults[i % len(insults)]} {clean()}" for i in range(n_toxic)] + [f"{clean()} {clean()}" for _ in range(200)]
-    values, _ = toxicity.train(texts, np.arange(len(texts)) < n_toxic, n_toxic / len(texts))
+    values, _ = toxicity.train([tuple(zip(*Counter(t.split()).items())) for t in texts], np.arange(len(texts)) < n_toxic, n_toxic / len(texts))
     known = toxicity.WordValues(values.astype(np.float64))
 
     def value(words: list[str]) -> np.ndarray:
@@ -181,11 +231,69 @@ def test_html(spark):
     want = {r[0]: r[3] for r in rows + odd}
     assert [(r.page_id, r.text, want[r.page_id]) for r in got if r.text != want[r.page_id]] == []
     assert all(r.n_chars == len(r.text) for r in got)
-    low = html_extract.style_tree(df).where(f"importance < {html_extract.LOW}").count()
-    assert low >= 2
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_by_brute_force(spark):
+    pages = [(i, f"http://{'ab'[i % 2]}.org/{i}", PAGE.format(site="Shop", tag="div", i=i % 7, body=sentence(4), lines="".join(f"<p>line {k}. {i}" for k in range(i % 4)))) for i in range(30)]
+    pages += [(100, None, "<div><img src=x><a href=y>go</a></div>"), (101, "http://a.org", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hosts, every = html_extract.style_tree(df)
+    key = {r.url: r.h for r in df.select("url", F.xxhash64(html_extract.host_of(F.col("url"))).alias("h")).collect()}
+    for by, got in ((lambda h: h, hosts.collect()), (lambda h: 0, every.collect())):
+        want = brute.style_tree([(by(key[u]), html) for _, u, html in pages])
+        assert len(got) == len(want)
+        for r in got:
+            m, content, shape, value = want[(by(getattr(r, "host", 0)), r.node)]
+            assert r.m == m and r.importance == pytest.approx(value) and r.content_importance == (content if content is None else pytest.approx(content))
+            assert r.shape_importance == (shape if shape is None else pytest.approx(shape))
+
+
+def _plain(html: str) -> str:
+    """The page with neutral names: no class, id or role, and every block a div."""
+    html = re.sub(r" (?:class|id|role)=(?:'[^']*'|\S+?(?=[ >]))", "", html)
+    return re.sub(r"<(/?)(?:header|nav|aside|article|main|footer|form)\b", r"<\1div", html)
+
+
+def test_html_by_the_style_tree_alone(spark):
+    """Names in the markup gone, what a site's pages repeat still goes and the articles stay."""
+    offers, rows = [sentence(7) for _ in range(9)], []
+    for i in range(1500):
+        title, body = sentence(5), [sentence(rng.randint(5, 30)) for _ in range(rng.randint(1, 6))]
+        html = f"<html><head><title>{title}</title></head><body><nav><ul>{''.join(f'<li><a href=/{k}>{w}</a></li>' for k, w in enumerate(VOCAB[i % 9 : i % 9 + 5]))}</ul></nav><div class='ad'>{offers[i % 9]}</div><article><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in body)}</article><footer>&copy; {offers[i % 7]}</footer></body></html>"
+        rows.append((i, f"http://h{i % 40 if i % 3 else 0}.org/{i}", html, " ".join([title, *body])))
+    want = {r[0]: r[3] for r in rows}
+    for plain in (False, True):
+        df = spark.createDataFrame([(i, u, _plain(h) if plain else h) for i, u, h, _ in rows], "page_id long, url string, html string").repartition(6)
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+        all_of_it = {r.page_id: r.text for r in html_extract.extract(df, low=-1).collect()}
+        assert all(all_of_it[i] != want[i] for i in want)
+
+
+def test_html_names_as_a_prior(spark):
+    cases = [
+        ("<html><head><title>no</title><body><p>head not closed</p></body>", "head not closed"),
+        ("<div class='site has-sidebar'><p>wrapped</p><div class='sidebar'>side</div></div>", "wrapped"),
+        ("<article class='post no-comments'><p>kept</p></article><section class='comments'><article>said</article></section>", "kept"),
+        ("<div class='search-page'><main><p>inner</p></main><form>f</form></div>", "inner"),
+        ("<article><header><h1>Title</h1></header><p>x</p><aside>a</aside></article><header>page</header>", "Title x"),
+        ("<p>one<p>two<script>var a</script><style>b</style><template>t</template>", "one two"),
+    ]
+    df = spark.createDataFrame([(i, "http://a.org", h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(df).orderBy("page_id").collect()] == [t for _, t in cases]
+
+
+def test_html_deep_page_takes_little_memory():
+    import tracemalloc
+
+    page = html_extract.Page()
+    tracemalloc.start()
+    assert page.read("<div>" * 40_000 + "deep" + "</div>" * 40_000).article({}, {}) == "deep" and len(page.observed()) == 80_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 # --- 6
 
 
@@ -351,7 +459,7 @@ def test_exact_dedup(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers, public, pipeline = (pytest.importorskip(x) for x in ("tokenizers", "public_tokenizers", "corpus_pipeline"))
     bad = ["grumblefish", "snottwaddle", "vilecreep"]
     base = sentence(80)
     items = [(i, sentence(30)) for i in range(5)]
@@ -374,6 +482,21 @@ def test_pipeline(spark, tmp_path):
     assert got == want and 2000 not in got and 2003 in got
 
 
+def test_pipeline_with_clashing_and_without_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["n_lines", "N_Dropped", "item_ids", "max_containment", "contaminated", "toxicity_score", "_key", "_row", "_found", "score"]
+    docs = spark.createDataFrame([(i, sentence(20) + "\n" + sentence(20)) for i in range(30)] + [(None, None), (3, "")], SCHEMA).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(9)), (1, sentence(9)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == docs.columns, name
+            for r in out.collect():
+                assert [r[n] for n in names] == [f"own {n}" for n in names], name
+        assert pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
+
+
 DATA = Path("/root/testdata/sf0.001")
 
 

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdanta.llm.cluster import short_batches
 from verdanta.llm.textbatch import gather, run_hashes
 
 #: Words whose ids a worker keeps; beyond that it starts anew.
 STORE_WORDS = 400_000
 #: Code points split at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 LETTER, DIGIT, BLANK, SIGN = 0, 1, 2, 3
 #: The contractions that the split pattern names, in its order (fixed by the tokenizer file).
@@ -103,8 +104,8 @@ class WordBpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (vocab | self.special).items()}
-        self.size = max(self.tokens) + 1
+        tokens = {i: t for t, i in (vocab | self.special).items()}
+        self.size = max(tokens) + 1
         suffix = model["end_of_word_suffix"]
         letters = byte_letters()
         self.first = np.array([vocab[c] for c in letters], np.int64)
@@ -115,7 +116,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.into = keys[order], order.astype(np.int64), into[order]
         self.none = len(keys)
-        spelled = [self.tokens.get(i, "").encode() + b" " for i in range(self.size)]
+        spelled = [tokens.get(i, "").encode() + b" " for i in range(self.size)]
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelling_at = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -255,6 +256,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     Returns per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with
     ``ids`` the token ids and the decoded text themselves.
     """
+    short_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if ids else []
@@ -263,8 +265,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 coded = coder.encode_batch(part.column(1).to_pylist())
                 plain = [coder.decode_bytes(x) for x in coded]
                 out = [
@@ -276,6 +278,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
                 if ids:
                     out += [pa.array(coded, pa.list_(pa.int32())), pa.array([x.decode() for x in plain], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", *(f.name for f in fields)])
+        coder.clear()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     more = ", ids array<int>, decoded string" if ids else ""

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of documents in an Arrow batch.
+BATCH_ROWS = 1000
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
@@ -64,6 +68,42 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let tasks hand texts to Python in batches of at most ``BATCH_ROWS`` rows.
+
+    Spark's own default, 10,000 rows, is tens or hundreds of MB of texts, held
+    several times over by each task. It is lowered for the session, unless the
+    session was given a value of its own; it changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def least_of_top(df: DataFrame, count: str, limit: int) -> int:
+    """The smallest c for which at most ``limit`` rows have ``count`` >= c (up to a rounding to 1/1024 of a power of two).
+
+    Two histograms of at most 64 and 1,024 rows reach the driver, whatever the size.
+    """
+    c = F.col(count).cast("long")
+    size = {r[0]: r[1] for r in df.groupBy(F.length(F.bin(c)).alias("k")).agg(F.count(F.lit(1))).collect()}
+    total = 0
+    for k in sorted(size, reverse=True):
+        if total + size[k] > limit:
+            break
+        total += size[k]
+    else:
+        return 1
+    low, width = 1 << (k - 1), max(1, (1 << (k - 1)) >> 10)
+    parts = df.where(c.between(low, 2 * low - 1)).groupBy(F.floor((c - low) / width).cast("long").alias("p")).agg(F.count(F.lit(1))).collect()
+    least = 2 * low
+    for p, n in sorted(((r[0], r[1]) for r in parts), reverse=True):
+        if total + n > limit:
+            break
+        total, least = total + n, low + p * width
+    return least
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

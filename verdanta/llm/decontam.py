@@ -17,9 +17,11 @@ on the words themselves, over the whole document.
 
 The index of a block of items has a bounded size (``block_words``) and is
 broadcast; a larger benchmark is searched block by block. No document is
-shuffled or collected. Defined results: a null or empty text contains nothing;
-items without words match nothing; repeated items are all reported; a null
-item_id is not listed, but its item still contaminates.
+shuffled or collected. Defined results: a null or empty text contains nothing; a
+very long text is searched whole; items without words match nothing; repeated
+items are searched once and all reported; a null item_id is not listed, but its
+item still contaminates; with an empty benchmark no document is contaminated;
+without documents there are no rows; repeated documents have the same result.
 """
 
 from __future__ import annotations
@@ -31,9 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from verdanta.llm.cluster import free_name
+from verdanta.llm.cluster import free_name, short_batches
 from verdanta.llm.textbatch import mix, shingles, text_chunks, word_hashes
 
 WIDTH = 5
@@ -69,10 +70,10 @@ class Index:
     parts: list = field(default_factory=list)
 
 
-def build_index(items: Sequence[tuple[int | None, str]], width: int = WIDTH, threshold: float = THRESHOLD) -> Index:
+def build_index(items: Sequence[tuple[list[int], str]], width: int = WIDTH, threshold: float = THRESHOLD) -> Index:
     index, groups = Index(), {}
     seeds = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for item_id, text in items:
+    for item_ids, text in items:
         words = text.split(" ") if text else []
         if not words:
             continue
@@ -82,7 +83,7 @@ def build_index(items: Sequence[tuple[int | None, str]], width: int = WIDTH, thr
         own = np.unique(shingles(hashes, bounds, w)[0])
         least = own[np.argmin(mix(own[None, :] ^ seeds[:, None]), axis=1)]
         keys, counts = np.unique(least, return_counts=True)
-        index.ids.append(item_id)
+        index.ids.append(item_ids)
         index.needles.append(list(dict.fromkeys(f" {' '.join(words[i : i + w])} " for i in range(len(words) - w + 1))))
         groups.setdefault((w, len(own).bit_length()), []).append((len(index.ids) - 1, len(own), keys, counts / PERMUTATIONS))
     for (w, _), found in sorted(groups.items()):
@@ -130,42 +131,51 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     """
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("long").alias("id"), words_of(F.col(item_text)).alias("words")).where("words <> ''")
+    wanted = wanted.groupBy("words").agg(F.collect_set("id").alias("ids"))
     total = wanted.agg(F.sum(F.size(F.split("words", " "))).cast("long")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     kept = [c for c in docs.columns if c.lower() not in ("item_ids", "max_containment", "contaminated")]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept])
-    plain = free_name(docs, "_words")
-    schema = T.StructType([*out.schema.fields, T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("max_containment", T.DoubleType()), T.StructField("contaminated", T.BooleanType())])
+    short_batches(spark)
+    found, plain = None, words_of(F.col(f"`{text}`"))
     for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(build_index(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), width, threshold))
-        out = out.withColumn(plain, words_of(F.col(f"`{text}`"))).mapInArrow(_searcher(index, len(kept), threshold, b > 0), schema)
-    return out
-
+        rows = wanted.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
+        index = spark.sparkContext.broadcast(build_index(sorted((sorted(r[1]), r[0]) for r in rows), width, threshold))
+        found = _searcher(index, threshold)(plain) if found is None else _searcher(index, threshold)(plain, found)
+    own = free_name(docs, "_found")
+    out = docs.withColumn(own, found)
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{own}.{c}").alias(c) for c in ("item_ids", "max_containment", "contaminated")])
+
+
+def _searcher(shared, threshold: float):
+    """A function of the text's words, and of what the blocks before have found."""
+
+    def searched(index: Index, plain: pa.Array, ids: list, best: list, bad: list) -> pa.Array:
+        for a, _, data, offsets in text_chunks(plain) if index.ids else ():
+            hashes, _, _, bounds = word_hashes(data, offsets)
+            for row, item in sorted(candidates(index, hashes, bounds, threshold - MARGIN)):
+                text = f" {plain[a + row].as_py()} "
+                needles = index.needles[item]
+                share = sum(x in text for x in needles) / len(needles)
+                if share >= threshold - 1e-12:
+                    bad[a + row] = True
+                    best[a + row] = max(best[a + row], share)
+                    ids[a + row] = sorted({*ids[a + row], *index.ids[item]})
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(bad, pa.bool_())], ["item_ids", "max_containment", "contaminated"])
+
+    @F.arrow_udf("item_ids array<long>, max_containment double, contaminated boolean")
+    def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index: Index = shared.value
+        for plain in columns:
+            n = len(plain)
+            yield searched(index, plain, [[] for _ in range(n)], [0.0] * n, [False] * n)
 
-def _searcher(shared, width_in: int, threshold: float, more: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("item_ids array<long>, max_containment double, contaminated boolean")
+    def later(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index: Index = shared.value
-        for batch in batches:
-            plain = batch.column(batch.num_columns - 1)
-            ids = batch.column(width_in).to_pylist() if more else [[] for _ in range(batch.num_rows)]
-            best = batch.column(width_in + 1).to_pylist() if more else [0.0] * batch.num_rows
-            bad = batch.column(width_in + 2).to_pylist() if more else [False] * batch.num_rows
-            for a, _, data, offsets in text_chunks(plain) if index.ids else ():
-                hashes, _, _, bounds = word_hashes(data, offsets)
-                for row, item in sorted(candidates(index, hashes, bounds, threshold - MARGIN)):
-                    text = f" {plain[a + row].as_py()} "
-                    needles = index.needles[item]
-                    share = sum(x in text for x in needles) / len(needles)
-                    if share >= threshold - 1e-12:
-                        bad[a + row] = True
-                        best[a + row] = max(best[a + row], share)
-                        if index.ids[item] is not None:
-                            ids[a + row] = sorted({*ids[a + row], index.ids[item]})
-            columns = [*batch.columns[:width_in], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
-
-    return run
+        for plain, before in columns:
+            yield searched(index, plain, *(before.field(i).to_pylist() for i in range(3)))
+
+    return lambda plain, before=None: first(plain) if before is None else later(plain, before)
 
 
 ORACLE = r"""

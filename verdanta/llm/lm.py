@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdanta.llm.cluster import checkpoint, fold
+from verdanta.llm.cluster import checkpoint, fold, least_of_top, short_batches
 from verdanta.llm.textbatch import LOWER, text_chunks, word_hashes
 
 FOLDS = 10
@@ -169,27 +169,17 @@ def train(cells: np.ndarray, counts: np.ndarray, dim: int = DIM, steps: int = ST
     return (logits - np.log(np.exp(logits).sum(1, keepdims=True))).astype(np.float32)
 
 
-def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
-    """The words of a count that at most FREQUENT words reach, and that count."""
-    rows = sorted(((r[0], r[1]) for r in counts.groupBy("c").count().collect()), reverse=True)
-    total, least = 0, (rows[0][0] + 1 if rows else 1)
-    for c, n in rows:
-        if total + n > FREQUENT:
-            break
-        total, least = total + n, c
-    return counts.where(F.col("c") >= least), least
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = FOLDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    short_batches(spark)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     training = named.where(fold(F.col("doc_id"), folds) != 0).select("text")
     counts = checkpoint(count_words(training))
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
-    top, _ = _frequent(counts)
-    top = top.toPandas()  # at most FREQUENT rows
+    top = counts.where((F.col("c") >= least_of_top(counts, "c", FREQUENT)) | (F.col("w") == END))
+    top = top.toPandas()  # at most FREQUENT rows and the end
     lex = Lexicon(*(top[c].to_numpy(np.int64) for c in ("w", "c", "g")))
     lexicon = spark.sparkContext.broadcast(lex)
     mass = np.full(BUCKETS, 0.1)

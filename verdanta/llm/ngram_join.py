@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdanta.llm import bitmaps
-from verdanta.llm.cluster import checkpoint, release, settled, written
+from verdanta.llm.cluster import checkpoint, least_of_top, release, settled, short_batches, written
 from verdanta.llm.components import connected
 from verdanta.llm.textbatch import mix, shingles, text_chunks, word_hashes
 
@@ -65,9 +65,11 @@ ROUNDS = 2
 #: Hashes that a band of the areas' signatures joins, and the chance that two linked sets share no band.
 BAND, RISK = 8, 1e-10
 #: A shingle is frequent if a batch has it in so many documents, and in so large a share of them.
-FREQUENT, FREQUENT_SHARE = 8, 0.001
+FREQUENT, FREQUENT_SHARE = 4, 0.001
 #: Frequent shingles that the order knows of; the order of the rest is by hash, which changes no result.
 ORDERED = 1 << 16
+
+
 def need(n: int, m: int, percent: int = PERCENT) -> int:
     """The overlap that sets of n and m shingles need: 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -234,7 +236,7 @@ def _prefixes(docs: DataFrame, text: str, width: int, percent: int, order) -> Da
                     toks.append(in_order[:p])
                     sids.append(set_id(values))
                     least.append(least_shared(len(values), plain, percent))
-                if len(toks) == 2000:
+                if len(toks) == 500:
                     yield out()
                     toks, sids, least = [], [], []
             if toks:
@@ -322,15 +324,11 @@ def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, row_key (a hash of doc_id and text)."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = checkpoint(_summaries(docs, text, doc_id, width))
     often = rows.where("tok is not null").groupBy("tok").agg(F.sum("often").alias("often"))
-    ranks = sorted(((r[0], r[1]) for r in often.groupBy("often").count().collect()), reverse=True)
-    least, total = 0, 0
-    for count, n in ranks:
-        if total + n > ORDERED:
-            least = count + 1
-            break
-        total += n
+    often = checkpoint(often)
+    least = least_of_top(often, "often", ORDERED)
     order = spark.sparkContext.broadcast([tuple(r) for r in often.where(F.col("often") >= least).collect()])  # at most ORDERED pairs
     rows = rows.where("tok is null").select("doc_id", "row_key", "n", "sid")
 
