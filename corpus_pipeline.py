@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all rows and whole texts that
 the stage before kept, and returns the columns of ``documents``; the last one
 returns the encoded documents.
+
+Defined results: a null or empty text has nothing to reject and stays; rows equal
+in doc_id and text stay or go together; a null doc_id counts as the largest;
+extra columns of any name come through unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,20 +21,31 @@ from verdanta.llm import bpe, decontam, line_dedup, ngram_join, toxicity
 from verdanta.llm.cluster import checkpoint_dir, free_name, table
 
 
-def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with other names for columns that are called like an operator's own."""
+    taken = {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in taken:
+            docs = docs.withColumnRenamed(c, free_name(docs, f"_own_{c}"))
+    return docs
+
+
+def _columns(rows: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns ``kept`` of ``rows``, called as in ``docs``."""
+    return rows.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(kept.columns, docs.columns)])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 stay; the model learns from those that ``labels`` marks."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "toxicity_score")
-    return _columns(toxicity.score(docs, model, name=name).where(F.col(name) < 0.5), docs)
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the lines that came earlier; n_chars follows the text."""
-    out = _columns(line_dedup.dedup_lines(docs), docs)
+    kept = _aside(docs, "n_lines", "n_dropped")
+    out = _columns(line_dedup.dedup_lines(kept), kept, docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -41,7 +56,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item stay."""
-    return _columns(decontam.search(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
+    kept = _aside(docs, "item_ids", "max_containment", "contaminated")
+    return _columns(decontam.search(kept, table(spark, sf_dir, "benchmark")).where("not contaminated"), kept, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
