@@ -19,6 +19,19 @@ def test_ingest_and_graph(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "g/counts")).where("label = 'Fact'").first()["count"] == 2
 
 
+def test_ingest_keeps_other_files_of_a_key(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    w, text = str(tmp_path / "w"), FILING.format(name="Acme Limited")
+    total = lambda: sum(r["count"] for r in cli.ingest(spark, [str(tmp_path / "in")], w).collect())
+    (tmp_path / "in/a.xml").write_text(text)
+    assert total() == 3
+    (tmp_path / "in/b.xml").write_text(text)
+    assert total() == 6
+    (tmp_path / "in/a.xml").write_text(text.replace('<c:TotalWasteGenerated contextRef="nowhere">500</c:TotalWasteGenerated>', ""))
+    assert total() == 5
+    assert sum(r["count"] for r in cli.ingest(spark, [str(tmp_path / "in")], w, fresh=True).collect()) == 5
+
+
 def test_align(spark, tmp_path):
     report = {"framework": "BRSR", "source_file": "a_brsr.pdf", "sections": [{"section_id": "C", "label": "SECTION C", "disclosures": [{"id": "Q1", "label": "Water withdrawal by source", "text": "Water withdrawal"}]}]}
     standard = {"framework": "GRI", "source_file": "GRI 303.pdf", "standards": [{"standard_id": "GRI 303", "title": "GRI 303: Water", "disclosures": [{"id": "303-3", "label": "Water withdrawal by source", "text": "w", "requirements": []}]}]}

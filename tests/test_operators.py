@@ -50,6 +50,15 @@ def test_filings(spark, folder):
     assert filings.find_files(spark, folder + "/missing").count() == 0
 
 
+def test_a_broken_file_stops_no_other(spark):
+    good = FILING.format(name="Acme")
+    cases = {"good": good.encode(), "odd": good.replace('version="1.0"', 'version="1.0" encoding="x-nobody"').encode(), "utf16": good.replace('version="1.0"', 'version="1.0" encoding="utf-16"').encode(), "none": b"", "bytes": bytes(range(256)) * 4}
+    rows = filings.parse(spark.createDataFrame(list(cases.items()), "path string, content binary")).collect()
+    facts = {k: [r for r in rows if r.source_file == k and r.kind == "fact"] for k in cases}
+    assert {k: (len(v), v[0].parser if v else None) for k, v in facts.items()} == {"good": (3, "strict"), "odd": (3, "fallback"), "utf16": (3, "fallback"), "none": (0, None), "bytes": (0, None)}
+    assert {r.source_file for r in rows if r.kind == "bad"} == {"none", "bytes"}
+
+
 def test_ingest_twice_leaves_one_copy(spark, folder, tmp_path):
     warehouse = str(tmp_path / "warehouse")
     facts = ingest.ingest(spark, folder, warehouse)
@@ -244,3 +253,22 @@ def test_tables_exist_once(spark):
     sinks.create_tables(spark)
     sinks.create_tables(spark)
     assert [c for c, _ in spark.table("esg_facts").dtypes][-2:] == ["company_name", "report_year"]
+
+
+def test_config(tmp_path):
+    from verdanta import config
+
+    (tmp_path / "c.json").write_text('{"thresholds": {"partial": 0.6}, "top_k": 5}')
+    c = config.load(str(tmp_path / "c.json"), {"VERDANTA_TOP_K": "7", "VERDANTA_WEIGHTS": '{"lexical": 0.5}'})
+    assert (c.top_k, c.thresholds["partial"], c.thresholds["equivalent"], c.weights["lexical"], c.verify_chunk) == (7, 0.6, 0.7, 0.5, 15)
+    (tmp_path / "c.json").write_text('{"nonsense": 1}')
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "c.json"), {})
+
+
+def test_timed():
+    from verdanta.session import timed
+
+    with timed("nothing") as took:
+        pass
+    assert 0 <= took["seconds"] < 1

@@ -1,6 +1,6 @@
 """Command line: ingest filings, build and check the graph, build and align ontologies, evaluate annotators.
 
-python -m verdanta ingest FOLDER... --warehouse PATH [--force]
+python -m verdanta ingest FOLDER... --warehouse PATH [--force | --fresh]
 python -m verdanta graph --warehouse PATH --out FOLDER
 python -m verdanta ontology TREES --out FOLDER
 python -m verdanta align TREES --out FOLDER [--blocked]
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from verdanta.operators import align, evaluate, graph, trees
 from verdanta.operators import facts as ops
+from verdanta.operators.shared import checkpoint
 from verdanta.session import session
 from verdanta.sources import files, filings, sinks
 from verdanta.streaming.ingest import facts_of_files
@@ -24,14 +25,25 @@ from verdanta.streaming.ingest import facts_of_files
 LEDGER = "path string, hash string, processed_at string"
 
 
-def ingest(spark: SparkSession, folders: list[str], warehouse: str, force: bool = False) -> DataFrame:
-    """New and changed filings into the warehouse; the ledger beside it tells which these are. Returns counts by category."""
+def ingest(spark: SparkSession, folders: list[str], warehouse: str, force: bool = False, fresh: bool = False) -> DataFrame:
+    """New and changed filings into the warehouse; the ledger beside it tells which these are. Returns counts by category.
+
+    A file's facts replace those that the same file had; facts of other files
+    stay, also where company and year are the same. ``force`` reads every file
+    again, ``fresh`` also forgets the ledger.
+    """
+    state = f"{warehouse}_ledger"
+    if fresh:
+        files.delete_state(spark, state)
     found = filings.find_files(spark, *folders)
-    ledger = spark.createDataFrame([], LEDGER) if force else files.read_state(spark, f"{warehouse}_ledger", LEDGER)
-    todo = ops.unprocessed(found, ledger).persist()
-    sinks.write_facts(facts_of_files(todo), f"{warehouse}")
-    sinks.append_ledger(todo.select("path", "hash", F.current_timestamp().cast("string").alias("processed_at")), f"{warehouse}_ledger")
-    todo.unpersist()
+    ledger = spark.createDataFrame([], LEDGER) if force else files.read_state(spark, state, LEDGER)
+    todo = checkpoint(ops.unprocessed(found.select("path", "hash"), ledger))  # names and hashes, not the files
+    new = checkpoint(facts_of_files(found.join(todo, ["path", "hash"], "left_semi")).select(*[F.col(c).cast("string") for c in ops.FACT_COLUMNS]))
+    if files.exists(spark, warehouse):
+        stored = sinks.read_facts(spark, warehouse).join(todo.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+        new = new.unionByName(checkpoint(stored.join(new.select(*ops.KEYS).distinct(), ops.KEYS, "left_semi").select(*ops.FACT_COLUMNS)))
+    sinks.write_facts(new, warehouse)
+    sinks.append_ledger(todo.select("path", "hash", F.current_timestamp().cast("string").alias("processed_at")), state)
     return sinks.read_facts(spark, warehouse).groupBy("category").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "category")
 
 
@@ -40,6 +52,7 @@ def build_graph(spark: SparkSession, warehouse: str, out: str) -> DataFrame:
     stored = sinks.read_facts(spark, warehouse)
     nodes, edges = graph.build(spark, stored.withColumn("pos", F.xxhash64(*stored.columns)))
     sinks.write_graph(nodes, edges, out)
+    sinks.write_json(graph.summary(nodes, edges), f"{out}/summary")
     sinks.write_json(graph.label_counts(nodes).withColumn("kind", F.lit("node")).unionByName(graph.edge_counts(edges).withColumnRenamed("type", "label").withColumn("kind", F.lit("edge"))), f"{out}/counts")
     return graph.report(spark, nodes, edges)
 
@@ -74,11 +87,12 @@ def main(args: list[str] | None = None) -> int:
     for name in ("warehouse", "out", "truth"):
         p.add_argument(f"--{name}")
     p.add_argument("--force", action="store_true")
+    p.add_argument("--fresh", action="store_true")
     p.add_argument("--blocked", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.getActiveSession() or session()
     if a.command == "ingest":
-        ingest(spark, a.paths, a.warehouse, a.force).show(truncate=False)
+        ingest(spark, a.paths, a.warehouse, a.force, a.fresh).show(truncate=False)
     elif a.command == "graph":
         report = build_graph(spark, a.warehouse, a.out)
         report.show(truncate=False, vertical=True)

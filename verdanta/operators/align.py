@@ -9,7 +9,6 @@ inverted index of tokens, by an equi join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -120,22 +119,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def best_alias_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best mean of token Jaccard and sequence ratio over the aliases of both sides; 1 for equal aliases."""
-    known: dict[tuple, float] = {}
+    """0.95 of the mean of the best token Jaccard and the best sequence ratio over the aliases of both sides; 1 for equal aliases."""
+    known: dict[tuple, tuple[float, float]] = {}
 
     def score(x, y) -> float:
         if {p["a"].strip().lower() for p in x} & {q["a"].strip().lower() for q in y}:
             return 1.0
-        best = 0.0
+        words = ratio = 0.0
         for p in x:
             for q in y:
                 key = (p["a"], q["a"])
                 if key not in known:
                     u, w = set(p["w"]), set(q["w"])
-                    j = len(u & w) / len(u | w) if u | w else 0.0
-                    known[key] = 0.5 * j + 0.5 * SequenceMatcher(None, *key).ratio()
-                best = max(best, known[key])
-        return 0.95 * best
+                    known[key] = len(u & w) / len(u | w) if u and w else 0.0, SequenceMatcher(None, *key).ratio()
+                words, ratio = max(words, known[key][0]), max(ratio, known[key][1])
+        return (0.5 * words + 0.5 * ratio) * 0.95
 
     return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -189,9 +187,12 @@ def damped(embedding: Column, lex: Column) -> Column:
 def aggregate_scores(lex: Column, struct: Column, prop: Column, emb: Column, weights: dict[str, float] = V.WEIGHTS) -> Column:
     """The weighted mean (a missing property score has no weight); 0 where label and embedding both say nothing."""
     w = weights
-    part = F.coalesce(lex, F.lit(0.0)) * w["lexical"] + F.coalesce(struct, F.lit(0.0)) * w["structural"] + F.coalesce(emb, F.lit(0.0)) * w["embedding"]
+    zero = F.lit(0.0)
+    # added in this order, which the last digits hang on
+    with_it = F.coalesce(lex, zero) * w["lexical"] + F.coalesce(struct, zero) * w["structural"] + prop * w["property"] + F.coalesce(emb, zero) * w["embedding"]
+    without = F.coalesce(lex, zero) * w["lexical"] + F.coalesce(struct, zero) * w["structural"] + F.coalesce(emb, zero) * w["embedding"]
     rest = w["lexical"] + w["structural"] + w["embedding"]
-    score = F.when(prop.isNull(), part / rest).otherwise((part + prop * w["property"]) / (rest + w["property"]))
+    score = F.when(prop.isNull(), without / rest).otherwise(with_it / (w["lexical"] + w["structural"] + w["property"] + w["embedding"]))
     return F.when((F.coalesce(lex, F.lit(0.0)) < 0.15) & (F.coalesce(emb, F.lit(0.0)) < 0.15), 0.0).otherwise(score)
 
 
@@ -227,21 +228,20 @@ def apply_rules(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"score": three, "reasoning": why})
 
 
-def one_to_one(scored: DataFrame, least: float = 0.85, cap: float = 0.74, rounds: int = 100) -> DataFrame:
+def one_to_one(scored: DataFrame, least: float = 0.85, cap: float = 0.74) -> DataFrame:
     """Pairs of ``least`` or more taken greedily by score, each concept once; the others of that level get ``cap``.
 
     A round keeps every pair that is the best of both its concepts and sets aside
     all pairs that share a concept with a kept one; the rounds end when none is
-    left, which gives what taking pairs one by one would give. Ties go by uri.
+    left, which gives what taking pairs one by one would give. Each round keeps
+    the best pair of all at least, so they do end. Ties go by uri.
     """
     from verdanta.operators.shared import checkpoint
 
     key = F.struct((-F.col("score")).alias("a"), F.col("s_uri").alias("b"), F.col("t_uri").alias("c"))
     open_ = checkpoint(scored.where(F.col("score") >= least).select("s_uri", "t_uri", "score"))
     kept = None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         best_s = open_.groupBy("s_uri").agg(F.min(key).alias("k")).select("k.b", "k.c")
         best_t = open_.groupBy("t_uri").agg(F.min(key).alias("k")).select("k.b", "k.c")
         now = checkpoint(best_s.join(best_t, ["b", "c"]).select(F.col("b").alias("s_uri"), F.col("c").alias("t_uri")))
@@ -291,8 +291,3 @@ def align(source: DataFrame, target: DataFrame, k: int = 100, blocked: bool = Fa
     s, t = prepare(source), prepare(target)
     pairs = blocked_pairs(s, t) if blocked else all_pairs(s, t)
     return mappings(top_pairs(one_to_one(apply_rules(score_pairs(pairs))), k))
-
-
-def ratios(pairs: Iterator) -> list[float]:
-    """The sequence ratio of Python string pairs, for tests."""
-    return [SequenceMatcher(None, a, b).ratio() for a, b in pairs]

@@ -73,6 +73,13 @@ def costs(usage: DataFrame) -> DataFrame:
     )
 
 
+def provider_report(decisions: DataFrame, usage: DataFrame, truth: str) -> DataFrame:
+    """One row a provider: its rates, confusion against ``truth``, correlation with it, tokens and cost."""
+    d = aligned(decisions)
+    r = correlations(d).where(F.col("b") == truth).select(F.col("a").alias("model"), "r")
+    return agreement_rates(decisions).join(confusion(d, truth), "model", "left").join(r, "model", "left").join(costs(usage), "model", "left")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verdanta.functions import vocab as V
 from verdanta.functions.normalize import first_filled, year_of
+from verdanta.operators.shared import checkpoint
 
 NODE = "id label name concept value normalized_value value_type unit_ref source_file dimensions description".split()
 EDGE = ["start_id", "end_id", "type"]
@@ -92,9 +93,15 @@ def instance_edges(placed: DataFrame) -> DataFrame:
     return placed.select(F.inline(edges))
 
 
-def build(spark: SparkSession, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the whole graph."""
+def build(spark: SparkSession, facts: DataFrame, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the whole graph.
+
+    Nodes and edges each go over the placed facts more than once; ``stored``
+    writes these to a checkpoint first, for callers that read both.
+    """
     placed = placed_facts(facts)
+    if stored:
+        placed = checkpoint(placed.select("company", "year", "fact_id", "company_name", "concept", "value", "normalized_value", "value_type", "unit_ref", "source_file", "dimensions_json", "category", "pos"))
     return schema_nodes(spark).unionByName(instance_nodes(placed)), schema_edges(spark).unionByName(instance_edges(placed))
 
 
@@ -112,6 +119,12 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
 
 
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: total_nodes, total_relationships, and the counts by label and by type as maps."""
+    counts = lambda df, key, name: df.agg(F.coalesce(F.sum("count"), F.lit(0)).alias(f"total_{name}"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "count")))).alias(f"{name}_by_{key}"))  # noqa: E731  one row for each kind
+    return counts(label_counts(nodes), "label", "nodes").join(F.broadcast(counts(edge_counts(edges), "type", "relationships")))
+
+
 def valid_ids(nodes: DataFrame) -> DataFrame:
     """Ids of nodes with an id and a label (edges to others dangle)."""
     return nodes.where("id <> '' and label <> ''").select("id").distinct()
@@ -138,19 +151,24 @@ def missing_concepts(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, said: dict[str, int] | None = None) -> DataFrame:
-    """One row: status, totals and the counts of each kind of error and warning."""
+    """One row: status, totals and the counts of each kind of error and warning.
+
+    Ids, labels and edges are checkpointed, so that the graph is built once and
+    not for each count.
+    """
+    nodes, edges = checkpoint(nodes.select("id", "label")), checkpoint(edges.select(*EDGE))
     n = nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.coalesce(F.sum((F.col("id") == "").cast("long")), F.lit(0)).alias("empty_ids"), F.coalesce(F.sum(((F.col("id") != "") & (F.col("label") == "")).cast("long")), F.lit(0)).alias("empty_labels"))
     e = edges.agg(
         F.count(F.lit(1)).alias("total_relationships"),
         F.coalesce(F.sum(((F.col("start_id") == "") | (F.col("end_id") == "") | (F.col("type") == "")).cast("long")), F.lit(0)).alias("empty_edges"),
         F.coalesce(F.sum((~F.col("type").isin(V.EDGE_TYPES) & (F.col("type") != "") & (F.col("start_id") != "") & (F.col("end_id") != "")).cast("long")), F.lit(0)).alias("unexpected_types"),
     )
-    u = valid_ids(nodes).agg(F.count(F.lit(1)).alias("unique_node_ids"))
-    d = duplicate_ids(nodes).agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicates"))
+    each = nodes.where("id <> '' and label <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    u = each.agg(F.count(F.lit(1)).alias("unique_node_ids"), F.coalesce(F.sum(F.col("times") - 1), F.lit(0)).alias("duplicates"))
     g = dangling(edges, nodes).agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("dangling"))
     m = missing_concepts(spark, nodes).agg(F.count(F.lit(1)).alias("missing_concepts"))
     row = n
-    for part in (e, u, d, g, m):  # one row each
+    for part in (e, u, g, m):  # one row each
         row = row.join(F.broadcast(part))
     wrong = sum((F.lit(v) != F.col(k)).cast("int") for k, v in (said or {}).items()) if said else F.lit(0)
     errors = F.col("empty_ids") + F.col("empty_labels") + F.col("duplicates") + F.col("empty_edges") + F.col("dangling") + F.col("missing_concepts")

@@ -167,6 +167,11 @@ def normalize_tables(tables: DataFrame) -> DataFrame:
     return df.drop("_promote").withColumns({"row_count": F.size("rows"), "col_count": F.size("headers")})
 
 
+def tables_of_rows(raw: DataFrame) -> DataFrame:
+    """Tables found on a page (cells: arrays of texts by row) with the first row as header; those of under two rows go."""
+    return raw.where(F.size("cells") >= 2).withColumns({"headers": F.element_at("cells", 1), "rows": F.slice("cells", 2, F.size("cells"))}).drop("cells")
+
+
 def table_records(normalized: DataFrame) -> DataFrame:
     """One row per table row and header: (..., row, key, value); a blank header is col_i, a short row padded."""
     rest = [c for c in normalized.columns if c not in ("headers", "rows", "row_count", "col_count")]

@@ -22,9 +22,12 @@ def validate(facts: DataFrame) -> DataFrame:
         ("W", (kind == "percentage") & (number > 100), "Percentage '%s' is over 100: %s"),
         ("W", numeric & contains_any(F.lower("concept"), V.NON_NEGATIVE_WORDS) & (number < 0), "'%s' is usually not negative: %s"),
     ]
-    said = [F.when(F.coalesce(test, F.lit(False)), F.format_string(text, "concept", "normalized_value")) for _, test, text in checks]
-    count = lambda k: sum((F.coalesce(t, F.lit(False)).cast("int") for x, t, _ in checks if x == k), F.lit(0))
-    return facts.withColumns({"issues": F.array_compact(F.array(*said)), "n_errors": count("E"), "n_warnings": count("W"), "is_valid": count("E") == 0})
+    # each test is a column of its own, computed once
+    df = facts.withColumns({f"_t{i}": F.coalesce(test, F.lit(False)) for i, (_, test, _) in enumerate(checks)})
+    said = [F.when(F.col(f"_t{i}"), F.format_string(text, "concept", "normalized_value")) for i, (_, _, text) in enumerate(checks)]
+    count = lambda k: sum((F.col(f"_t{i}").cast("int") for i, (x, _, _) in enumerate(checks) if x == k), F.lit(0))
+    df = df.withColumns({"issues": F.array_compact(F.array(*said)), "n_errors": count("E"), "n_warnings": count("W")})
+    return df.withColumn("is_valid", F.col("n_errors") == 0).drop(*[f"_t{i}" for i in range(len(checks))])
 
 
 def summary(validated: DataFrame) -> DataFrame:

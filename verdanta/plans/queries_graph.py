@@ -57,12 +57,12 @@ BROKEN = (
 )
 
 
-def built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return graph.build(spark, named_facts(spark, folder))
+def built(spark: SparkSession, folder: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    return graph.build(spark, named_facts(spark, folder), stored=stored)
 
 
 def broken(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    n, e = built(spark, folder)
+    n, e = built(spark, folder, stored=True)
     i, t = F.col("id"), F.col("type")
     bad = n.where(~i.isin("CSRSpending", "Category_Social")).withColumn("label", F.when(i == "Standard_ISSB", "").otherwise(F.col("label"))).withColumn("id", F.when(i == "Category_Other", "").otherwise(i))
     kind = F.when((t == "REPORTS") & F.col("end_id").endswith("5"), "REPORTED").when((t == "DISCLOSED_IN") & F.col("start_id").endswith("a"), "").otherwise(t)

@@ -126,9 +126,14 @@ def standard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return segment.standard_owners(b).select("doc", "pos", "owner")
 
 
-@query("reading_order", f"with {CLASSIFIED} select doc, pos, text from classified where pos <= 10")
+@query("reading_order", f"with {CLASSIFIED} select doc, pos, text from classified")
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
-    return blocks(spark, folder).where("pos <= 10").select("doc", "pos", "text")
+    return blocks(spark, folder).select("doc", "pos", "text")
+
+
+@query("heading_list", f"with {CLASSIFIED} select doc, pos, heading_type, text from classified where heading_type <> ''")
+def heading_list(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.headings(blocks(spark, folder)).select("doc", "pos", "heading_type", "text")
 
 
 @query(

@@ -45,14 +45,43 @@ def read_graph_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path).na.fill("")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A ledger or cache in JSON lines; empty where nothing was written yet."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
 
+def delete_state(spark: SparkSession, *paths: str) -> None:
+    """Forget ledgers and caches, for a fresh start; one that doesn't exist is passed over."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o, datatype) of a file of triples, one a line, as ``write_triples`` has them; other lines are passed over."""
+    line = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"(.*)"\^\^<([^>]*)>) \.$'
+    part = lambda k: F.regexp_extract("value", line, k)
+    raw = spark.read.text(path).where(F.col("value").rlike(line)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("iri"), part(4).alias("text"), part(5).alias("kind"))
+    # a backslash stands for itself only as a pair, so the pairs are set aside first
+    text = F.replace(F.col("text"), F.lit("\\\\"), F.lit("\x00"))
+    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    literal = F.col("kind") != ""
+    return raw.select("s", "p", F.when(literal, text).otherwise(F.col("iri")).alias("o"), F.when(literal, F.col("kind")).alias("datatype"))
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """(place, column, type) of every column."""
+    return df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)], "place int, column string, type string")
+
+
 def company_of_path(path: Column) -> Column:
     """The folder before BRSR or Annual in a document's path."""
     parts = F.split(path, "/")

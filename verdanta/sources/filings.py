@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdanta.sources.files import exists
+
 PATTERNS = "*.{xml,XML,xbrl,XBRL}"
 ROWS = (
     "source_file string, parser string, kind string, pos long, id string, entity_identifier string, entity_scheme string, period_type string,"
@@ -138,20 +140,25 @@ def rows_of(root: Element) -> Iterator[dict]:
             yield {"kind": "fact", "pos": pos, "concept": e.name, "namespace": e.namespace, "value": e.text, "context_ref": e.attrs["contextRef"], "unit_ref": e.attrs.get("unitRef"), "decimals": e.attrs.get("decimals")}
 
 
-def find_files(spark: SparkSession, *folders: str) -> DataFrame:
+def find_files(spark: SparkSession, *folders: str, pattern: str = PATTERNS) -> DataFrame:
     """(path, hash, content) of every filing under the folders, each once; a folder that doesn't exist is passed over."""
-    jvm = spark._jvm
-    known = []
-    for f in folders:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known.append(f)
+    known = [f for f in folders if exists(spark, f)]
     if not known:
         return spark.createDataFrame([], "path string, hash string, content binary")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERNS).load(known)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(known)
     return files.select("path", F.md5("content").alias("hash"), "content").dropDuplicates(["path"])
 
 
+def read(content: bytes) -> tuple[list[dict], str]:
+    """(rows, parser) of one file: strict, or tolerant where that fails in any way (no XML, an unknown encoding)."""
+    for parser, walk in (("strict", strict), ("fallback", tolerant)):
+        try:
+            return list(rows_of(walk(content))), parser
+        except Exception:  # a file may be broken in any way; it must not stop the others
+            continue
+    return [], "fallback"
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Rows of all kinds from files (path, content)."""
     names = [c.split()[0] for c in re.split(r",\s(?=\w+ )", ROWS)]
@@ -159,13 +166,8 @@ def parse(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    found, parser = list(rows_of(strict(bytes(content)))), "strict"
-                except ET.ParseError:
-                    found, parser = list(rows_of(tolerant(bytes(content)))), "fallback"
-                if not found:
-                    found = [{"kind": "bad", "pos": 0}]
-                out = pd.DataFrame(found, columns=names).astype(object)
+                found, parser = read(bytes(content))
+                out = pd.DataFrame(found or [{"kind": "bad", "pos": 0}], columns=names).astype(object)
                 out["source_file"], out["parser"] = path, parser
                 yield out.where(out.notna(), None)
 
