@@ -1,8 +1,10 @@
 """A Bloom filter with one hash, in DataFrame functions: bitmaps over 2**bits positions.
 
-The packed filter has at most 2**bits / 8 bytes (8 MB by default), however many
-keys are in it, so it is safe to broadcast. A fuller filter lets more rows pass;
-it never loses one.
+The number of positions follows the number of keys, up to ``MOST_BITS``: a packed
+filter has at most 2**MOST_BITS / 8 bytes (32 MB), so it is safe to broadcast.
+With ``PER_KEY`` positions for each key about one in ``PER_KEY`` other rows passes
+for nothing; a second hash would halve that for twice the work of packing. A
+fuller filter lets more rows pass; it never loses one.
 """
 
 from __future__ import annotations
@@ -12,12 +14,16 @@ from pyspark.sql import functions as F
 
 from verdanta.llm.cluster import checkpoint
 
-BITS = 26
+MOST_BITS, PER_KEY = 28, 16
 #: A bitmap function of Spark packs 2**15 positions into one value.
 BUCKET_BITS = 15
 
 
-def with_position(rows: DataFrame, *keys: str, bits: int = BITS) -> DataFrame:
+def bits_for(keys: int, most: int = MOST_BITS) -> int:
+    return min(most, max(BUCKET_BITS, (PER_KEY * keys - 1).bit_length()))
+
+
+def with_position(rows: DataFrame, *keys: str, bits: int) -> DataFrame:
     return rows.withColumn("_at", F.xxhash64(*keys).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
@@ -36,13 +42,20 @@ def tested(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return joined.withColumn("_in", F.coalesce(found, F.lit(False))).drop("_bucket", "_map", "_at")
 
 
-def maybe_in(rows: DataFrame, others: DataFrame, *keys: str, bits: int = BITS) -> DataFrame:
-    """The rows whose keys may be among those of ``others``: a filter before a shuffled join."""
+def split(rows: DataFrame, others: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose keys may be among those of ``others``, rows whose keys certainly are not)."""
+    bits = bits_for(others.count())
     maps = pack(with_position(others.select(*keys), *keys, bits=bits).select("_at").distinct())
-    return tested(with_position(rows, *keys, bits=bits), maps).where("_in").drop("_in")
+    both = tested(with_position(rows, *keys, bits=bits), maps)
+    return both.where("_in").drop("_in"), both.where("not _in").drop("_in")
+
+
+def maybe_in(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys may be among those of ``others``: a filter before a shuffled join."""
+    return split(rows, others, *keys)[0]
 
 
-def possibly_repeated(rows: DataFrame, *keys: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def possibly_repeated(rows: DataFrame, *keys: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose keys may occur again, rows whose keys certainly do not)."""
     at = with_position(rows, *keys, bits=bits)
     maps = pack(at.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
@@ -12,35 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdanta.operators.shared import checkpoint, checkpoint_dir
 
-#: Rows of documents in an Arrow batch.
-BATCH_ROWS = 1000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder.
-
-    The folder is read from ``spark.checkpoint.dir``. Where that is unset, a
-    temporary folder is set, but only in local mode: on a cluster a
-    machine-local folder would be invisible to the other executors.
-    """
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = sc.getConf().get("spark.checkpoint.dir", "")
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="verdanta-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
+__all__ = ["checkpoint", "checkpoint_dir"]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager, reliable checkpoint: lost executors don't lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of documents in an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def settled(df: DataFrame, rows: int = 50_000) -> DataFrame:
@@ -49,11 +26,11 @@ def settled(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as a Parquet table in the shared folder, and a function that deletes it once nothing lazy reads it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
 
     def delete() -> None:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +39,23 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), delete
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``keyed``, whose column ``n`` says how many rows each key has.
+
+    Keys with over a thousandth of all these rows are under a thousand; they are
+    joined by broadcast, so no hot key meets in one task. ``keyed`` is read three
+    times and should be stored.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    least = max(1000, total // 1000)
+    hot = keyed.where(F.col(n) > least)
+    both = rows.join(keyed.where(F.col(n) <= least).drop(n), keys, how)
+    if total <= least or hot.isEmpty():
+        return both
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(n) <= least).drop(n), keys, how)
+    return rows.join(F.broadcast(hot.drop(n)), keys, how).unionByName(cold)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle and checkpoint files of steps that nothing refers to any more."""
     gc.collect()

@@ -22,7 +22,10 @@ How near copies are found:
    line that emits it.
 5. Each found pair (line, earliest partner) is verified by edit distance.
 
-Groups of any size are summed before they shuffle. Defined results: a null text
+Groups of any size are summed before they shuffle; the few lines that hold over a
+thousandth of all repeated occurrences are joined by broadcast. Whole texts
+shuffle only where a filter says that the document may lose a line. Defined
+results: a null text
 has no lines and stays null; an empty text stays; a row stays even if all its
 lines go (its text is then empty). A null doc_id comes last. Rows equal in
 doc_id count as one document: of equal lines at the same place none is earlier. All columns of ``docs`` come back.
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdanta.llm import bitmaps
-from verdanta.llm.cluster import checkpoint
+from verdanta.llm.cluster import checkpoint, join_hot
 
 MIN_CHARS = 10
 NEAR_CHARS = 20
@@ -92,8 +95,9 @@ def _near(digests: DataFrame, lines: DataFrame) -> DataFrame:
     shared = keys.groupBy("_half").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low <> _high").select("_half")
     shared = checkpoint(shared)
     live = checkpoint(bitmaps.maybe_in(keys, shared, "_half").join(shared, "_half", "left_semi").select("_a", "_b").distinct())
-    texts = bitmaps.maybe_in(lines.where(F.col("_len") >= NEAR_CHARS), live, "_a", "_b").join(live, ["_a", "_b"], "left_semi")
-    texts = checkpoint(texts.groupBy("_a", "_b").agg(F.min(_order()).alias("_first"), F.min("_norm").alias("_norm")))
+    texts = bitmaps.maybe_in(lines.where(F.col("_len") >= NEAR_CHARS), live, "_a", "_b")
+    texts = texts.groupBy("_a", "_b").agg(F.min(_order()).alias("_first"), F.min("_norm").alias("_norm"))  # before the join: a line may be hot
+    texts = checkpoint(texts.join(live, ["_a", "_b"], "left_semi"))
     blocks = _blocks(texts)
     met = blocks.groupBy("_place").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low <> _high").select("_place")
     hot = checkpoint(blocks.join(met, "_place", "left_semi"))
@@ -126,24 +130,25 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = docs.select(named.alias("_id"), key.alias("_key"), whole.alias("_text"))
     lines = _lines(rows)
     digests = checkpoint(lines.select("_id", "_key", "_pos", "_a", "_b", _halves().alias("_halves")))
-    repeated, _ = bitmaps.possibly_repeated(digests.select("_a", "_b", "_id", "_pos"), "_a", "_b")
+    repeated, _ = bitmaps.possibly_repeated(digests.select("_a", "_b", "_id", "_pos"), "_a", "_b", bits=bitmaps.bits_for(digests.count()))
     copies = repeated.groupBy("_a", "_b").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cuts = copies.select("_a", "_b", F.col("_first").alias("_cut")).unionByName(_near(digests, lines))
-    cuts = checkpoint(cuts.groupBy("_a", "_b").agg(F.min("_cut").alias("_cut")))
-    gone = bitmaps.maybe_in(digests.select("_a", "_b", "_id", "_key", "_pos"), cuts, "_a", "_b").join(cuts, ["_a", "_b"]).where(_order() > F.col("_cut"))
-    gone = gone.groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_gone")).withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key")
-    out = docs.withColumns({"__key": key, "__id": named}).join(gone, F.col("__key").eqNullSafe(F.col("_gone_key")) & F.col("__id").eqNullSafe(F.col("_gone_id")), "left")
+    cuts = copies.select("_a", "_b", F.col("_first").alias("_cut"), "_n").unionByName(_near(digests, lines).withColumn("_n", F.lit(1).cast("long")))
+    cuts = checkpoint(cuts.groupBy("_a", "_b").agg(F.min("_cut").alias("_cut"), F.max("_n").alias("_n")))
+    gone = join_hot(bitmaps.maybe_in(digests.select("_a", "_b", "_id", "_key", "_pos"), cuts, "_a", "_b"), cuts, ["_a", "_b"], "_n").where(_order() > F.col("_cut"))
+    gone = checkpoint(gone.groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_gone")))
+    # only documents that may lose a line are shuffled; a row goes as one value, so no column of it can clash
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"), named.alias("_id"))
+    losing, clean = bitmaps.split(rows, gone, "_key")
+    losing = losing.join(gone.withColumnsRenamed({"_key": "_gone_key", "_id": "_gone_id"}), F.col("_key").eqNullSafe(F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
+    out = losing.select("_row", "_gone").unionByName(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
+    whole = F.col("_row")[text].cast("string")
     parts = F.split(whole, "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     dropped = F.coalesce(F.array_size("_gone"), F.lit(0))
+    fresh = {text.lower(): F.when(F.col("_gone").isNull(), whole).otherwise(kept)}
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return out.withColumns(
-        {
-            text: F.when(F.col("_gone").isNull(), whole).otherwise(kept),
-            "n_lines": F.coalesce(F.array_size(parts), F.lit(0)).cast("long"),
-            "n_dropped": dropped.cast("long"),
-        }
-    ).select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped")
+    own = [fresh.get(c.lower(), F.col("_row")[c]).alias(c) for c in names]
+    return out.select(*own, F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""

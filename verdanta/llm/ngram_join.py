@@ -31,12 +31,16 @@ Only components are asked for, so no group of near copies makes all its pairs:
    an area sets are compared block by block, every block with every other,
    passing over pairs that are in one component already.
 
-Links and components stay distributed; nothing is collected. Words and sets are
+Links and components stay distributed; the driver only gets the frequent
+shingles of the order, at most ``ORDERED``. Shingles and nodes that hold over a
+thousandth of the rows of a join are joined by broadcast. Words and sets are
 known by 64-bit hashes.
 
 Defined results: a null, empty or blank text has an empty set and is linked with
-nothing; a text of fewer words than a shingle has one shingle, all its words.
-Repeated rows are linked. A null doc_id counts as the largest.
+nothing; a text of fewer words than a shingle has one shingle, all its words; a
+very long text is one set like any other. Repeated rows are linked. A null doc_id
+counts as the largest. An empty table gives no rows. Extra columns are left out,
+and come through ``keep_one`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdanta.llm import bitmaps
-from verdanta.llm.cluster import checkpoint, least_of_top, release, settled, short_batches, written
+from verdanta.llm.cluster import checkpoint, join_hot, least_of_top, release, settled, short_batches, written
 from verdanta.llm.components import connected
 from verdanta.llm.textbatch import mix, shingles, text_chunks, word_hashes
 
@@ -267,8 +271,8 @@ def _enough(members: DataFrame) -> DataFrame:
 def _open(members: DataFrame) -> DataFrame:
     """The rows (tok, sid, least, comp) of shingles that join different components, of sets that have enough of them."""
     for _ in range(2):
-        met = members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok")
-        members = settled(_enough(members.join(met, "tok", "left_semi")))
+        met = settled(members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("tok", "n"))
+        members = settled(_enough(join_hot(members, met, ["tok"], "n", "left_semi")))
     return members
 
 
@@ -333,8 +337,8 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     rows = rows.where("tok is null").select("doc_id", "row_key", "n", "sid")
 
     prefixes, delete = written(_prefixes(docs, text, width, percent, order))
-    shared = checkpoint(prefixes.groupBy("tok").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("tok"))
-    members = bitmaps.maybe_in(prefixes, shared, "tok").join(shared, "tok", "left_semi").distinct()
+    shared = checkpoint(prefixes.groupBy("tok").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("tok", "n"))
+    members = join_hot(bitmaps.maybe_in(prefixes, shared, "tok"), shared, ["tok"], "n", "left_semi").distinct()
     members = checkpoint(members.withColumn("comp", F.col("sid")))
     delete()
     members = _open(members)
@@ -346,8 +350,9 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     links = spark.createDataFrame([], "u long, v long")
     for k in range(ROUNDS):
         # for each shingle the set that this round's hash puts first; for each set the hub that it shares most with
-        first = members.groupBy("tok").agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "comp")).alias("f")).select("tok", F.col("f.sid").alias("g"), F.col("f.comp").alias("g_comp"))
-        hubs = members.join(first, "tok").where("comp <> g_comp").groupBy("sid", "comp", "g", "g_comp").agg(F.count(F.lit(1)).alias("c"))
+        first = members.groupBy("tok").agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "comp")).alias("f"), F.count(F.lit(1)).alias("n"))
+        first = settled(first.select("tok", F.col("f.sid").alias("g"), F.col("f.comp").alias("g_comp"), "n"))
+        hubs = join_hot(members, first, ["tok"], "n").where("comp <> g_comp").groupBy("sid", "comp", "g", "g_comp").agg(F.count(F.lit(1)).alias("c"))
         hubs = settled(hubs.groupBy("sid", "comp").agg(F.max(F.struct("c", "g", "g_comp")).alias("best")).select("sid", "comp", "best.g", "best.g_comp"))
         if hubs.isEmpty():
             break
@@ -391,10 +396,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     gone = checkpoint(found.where("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("row_key").alias("_key")).distinct())
     # a row goes through the filter as one value, so no column of it can clash
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("_key"))
-    maps = bitmaps.pack(bitmaps.with_position(gone, "_key").select("_at").distinct())
-    tested = bitmaps.tested(bitmaps.with_position(rows, "_key"), maps)
-    rest = tested.where("_in").drop("_in").join(gone, "_key", "left_anti")  # only rows that may go are shuffled
-    return tested.where("not _in").drop("_in").unionByName(rest).select("_row.*")
+    maybe, rest = bitmaps.split(rows, gone, "_key")  # only rows that may go are shuffled
+    return rest.unionByName(maybe.join(gone, "_key", "left_anti")).select("_row.*")
 
 
 ORACLE = r"""
