@@ -23,7 +23,7 @@ def duck():
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
-    text = lambda v: "null" if v is None or v is pd.NaT or v != v else f"{v:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "null" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 

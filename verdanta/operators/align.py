@@ -104,6 +104,24 @@ def blocked_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return ids.join(_side(source, "s"), "s_uri").join(_side(target, "t"), "t_uri")
 
 
+def similar_word_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l, r, j) of rows (l, w) and (r, w), w distinct words, with a Jaccard similarity of ``least`` or more.
+
+    Such a pair shares a word among the rarest of the right set, all but
+    ``least`` of them less one. Only these are joined, so the words that most
+    sets have make no rows; the pairs found are verified by their whole sets.
+    """
+    n = F.size("w")
+    words = right.select("r", F.explode("w").alias("k"))
+    rare = words.join(words.groupBy("k").agg(F.count(F.lit(1)).alias("f")), "k").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("f", "k"))).alias("o"))
+    first = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1)
+    rare = rare.select("r", F.explode(F.transform(first, lambda x: x["k"])).alias("k"))
+    ids = left.select("l", F.explode("w").alias("k")).join(rare, "k").select("l", "r").distinct()
+    pairs = ids.join(left.withColumn("n", n), "l").join(right.select("r", F.col("w").alias("v"), n.alias("m")), "r")
+    pairs = pairs.where((F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9))
+    return pairs.select("l", "r", jaccard(F.col("w"), F.col("v")).alias("j")).where(F.col("j") >= least)
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, for which there is no built-in function; equal pairs of a batch are computed once."""

@@ -99,13 +99,10 @@ def token_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query("document_jaccard_pairs", f"""with d as (select doc_id, {_words('text')} as w from documents where text is not null), b as (select item_id, {_words('text')} as w from benchmark)
       select doc_id, item_id, round({_jaccard('d.w', 'b.w')}, 6) as j from d cross join b where {_jaccard('d.w', 'b.w')} >= 0.3""")
 def document_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlaps counted over an inverted index, verified by size: no pair of texts is compared as a whole."""
-    d = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select("doc_id", align.word_set(F.col("text")).alias("w"))
-    b = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", align.word_set(F.col("text")).alias("w"))
-    x, y = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("k")), b.select("item_id", F.size("w").alias("m"), F.explode("w").alias("k"))
-    o = x.join(y, "k").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("i"), F.first("n").alias("n"), F.first("m").alias("m"))
-    j = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return o.where(j >= 0.3).select("doc_id", "item_id", F.round(j, 6).alias("j"))
+    """Only rare words join; no common word makes rows."""
+    d = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("l"), align.word_set(F.col("text")).alias("w"))
+    b = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("r"), align.word_set(F.col("text")).alias("w"))
+    return align.similar_word_sets(d, b, 0.3).select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), F.round("j", 6).alias("j"))
 
 
 @query("structural_score", f"with {PAIRS}, {STRUCTURAL} select s_uri, t_uri, {_r6("structural")} as score from structured")

@@ -288,7 +288,7 @@ def _read_back(spark: SparkSession, *found: DataFrame) -> DataFrame:
     for i, df in enumerate(found):
         sinks.write_json(df.repartition("doc"), f"{at}/{i}", "doc")
     spark.range(1).select(F.lit('{"framework": "BRSR", "sections": [').alias("value")).write.text(f"{at}/broken/doc=x")
-    return files.read_trees(spark, f"{at}/*/doc=*/")
+    return files.read_trees(spark, f"{at}/*/doc=*/").where("_bad is null")
 
 
 _CLEAN = lambda x: f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_')"
@@ -299,13 +299,13 @@ _Q_URI = f"'{_NS}Disclosure_Q' || k || '_' || left(md5(t), 12)"
 
 @query(
     "report_tree_nodes",
-    f"""with {_ITEMS} select '{_NS}Framework_' || {_CLEAN("'r' || r_regionkey || '_brsr.pdf'")} as uri, 'Framework' as class, 'BRSR' as identifier, 'Business Responsibility and Sustainability Report' as name, null::int as page_start, 'Intro ' || r_name as text from region where r_regionkey in (select n_regionkey from nation where n_nationkey in (select s_nationkey from s))
+    f"""with {_ITEMS} select '{_NS}Framework_' || {_CLEAN("'r' || r_regionkey || '_brsr.pdf'")} as uri, 'Framework' as class, 'BRSR' as identifier, 'Business Responsibility and Sustainability Report' as name, -1 as page_start, 'Intro ' || r_name as text from region where r_regionkey in (select n_regionkey from nation where n_nationkey in (select s_nationkey from s))
       union all select '{_NS}Topic_S' || n_nationkey, 'Topic', 'S' || n_nationkey, n_name, n_nationkey::int, 'about ' || n_name from nation where n_nationkey in (select s_nationkey from s)
       union all select {_Q_URI}, 'Disclosure', 'Q' || k, s_name, (k % 9)::int, t || chr(10) || 'c1' || chr(10) || 'c2' from s
-      union all select distinct '{_NS}Metric_Metric_' || k % 3, 'Metric', 'Metric ' || k % 3, 'Metric ' || k % 3, null::int, null from s union all select distinct '{_NS}Unit_GJ', 'Unit', 'GJ', 'GJ', null::int, null from s where k % 2 = 0""",
+      union all select distinct '{_NS}Metric_Metric_' || k % 3, 'Metric', 'Metric ' || k % 3, 'Metric ' || k % 3, -1, null from s union all select distinct '{_NS}Unit_GJ', 'Unit', 'GJ', 'GJ', -1, null from s where k % 2 = 0""",
 )
 def report_tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.report_graph(_read_back(spark, _report_trees(spark, folder)))[0].select("uri", "class", "identifier", "name", "page_start", "text")
+    return trees.report_graph(_read_back(spark, _report_trees(spark, folder)))[0].select("uri", "class", "identifier", "name", F.coalesce("page_start", F.lit(-1)).alias("page_start"), "text")
 
 
 _BOTH = lambda a, b, down, up, rows: f"select {a} as source, {b} as target, '{down}' as relation {rows} union all select {b}, {a}, '{up}' {rows}"
@@ -361,7 +361,7 @@ def tree_concepts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tree_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Reports and standards from one scan; the broken file is told by its text and left out."""
-    found = _read_back(spark, _report_trees(spark, folder), _standard_trees(spark, folder)).where("_bad is null")
+    found = _read_back(spark, _report_trees(spark, folder), _standard_trees(spark, folder))
     return sinks.manifest(found).select("framework", "company", "output_file", "standards", "sections")
 
 
