@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdanta.llm import bpe, decontam, line_dedup, ngram_join, toxicity
-from verdanta.llm.cluster import checkpoint_dir, free_name, table
+from verdanta.llm.cluster import checkpoint_dir, deleted, free_name, table
 
 
 def _aside(docs: DataFrame, *names: str) -> DataFrame:
@@ -78,10 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the table ``documents``."""
+    """All stages in turn over the table ``documents``; what a stage wrote is deleted once the next one has read it."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            deleted(spark, f"{folder}/{before}")
+        before = name
     return docs
