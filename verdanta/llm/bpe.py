@@ -11,7 +11,7 @@ a store of bounded size.
 Defined results: a null or empty text has no ids and decodes to the empty text.
 The strings of special tokens inside a text become their ids, as the tokenizers
 library has it by default. Repeated rows and ties need no rule: every row is
-encoded by itself. Extra columns are left out, whatever their names.
+encoded by itself; a very long text is encoded whole; an empty table gives no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

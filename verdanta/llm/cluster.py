@@ -32,11 +32,13 @@ def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, Callable[[],
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
 
-    def delete() -> None:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return spark.read.schema(df.schema).parquet(path), lambda: deleted(spark, path)
 
-    return spark.read.schema(df.schema).parquet(path), delete
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:

@@ -24,11 +24,14 @@ How near copies are found:
 
 Groups of any size are summed before they shuffle; the few lines that hold over a
 thousandth of all repeated occurrences are joined by broadcast. Whole texts
-shuffle only where a filter says that the document may lose a line. Defined
-results: a null text
-has no lines and stays null; an empty text stays; a row stays even if all its
-lines go (its text is then empty). A null doc_id comes last. Rows equal in
-doc_id count as one document: of equal lines at the same place none is earlier. All columns of ``docs`` come back.
+shuffle only where a filter says that the document may lose a line.
+
+Defined results: a null text has no lines and stays null; an empty text stays; a
+row stays even if all its lines go (its text is then empty); a very long text or
+line is treated whole. A null doc_id comes last. Rows equal in doc_id count as
+one document: of equal lines at the same place none is earlier. An empty table
+gives no rows. All columns of ``docs`` come back, but for those that are called
+n_lines or n_dropped.
 """
 
 from __future__ import annotations

@@ -16,9 +16,11 @@ any size. The pair counts are at most (SYMBOLS + BUCKETS + 1)**2 numbers; the
 counts of the ``FREQUENT`` most frequent words are broadcast, those of other
 words meet the texts' words in a shuffled join.
 
-Defined results: a null, empty or blank text is the end token alone; a null
-doc_id counts as the empty text in the fold; every row of equal rows is scored;
-with no training text all words are unknown and the model is uniform.
+Defined results: a null, empty or blank text is the end token alone; a very long
+text is scored whole; a null doc_id counts as the empty text in the fold; every
+row of equal rows is scored; words of equal count are ranked by their hash; with
+no training text all words are unknown and the model is uniform; an empty table
+gives no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

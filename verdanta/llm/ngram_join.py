@@ -264,8 +264,8 @@ def _sets(docs: DataFrame, text: str, width: int, order) -> DataFrame:
 
 def _enough(members: DataFrame) -> DataFrame:
     """The rows of sets that have enough shingles left."""
-    good = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("sid")
-    return members.join(good, "sid", "left_semi")
+    good = settled(members.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("sid", "n"))
+    return join_hot(members, good, ["sid"], "n", "left_semi")  # a very long document has very many shingles
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -364,8 +364,9 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             continue
         links = links.unionByName(new)
         comps = settled(connected(links)).withColumnRenamed("id", "sid")
-        placed = members.drop("comp").join(comps, "sid", "left")
-        members = _open(placed.select("tok", "sid", "least", F.coalesce("component", "sid").alias("comp")))
+        own = members.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).join(comps, "sid", "left")
+        own = settled(own.select("sid", F.coalesce("component", "sid").alias("comp"), "n"))
+        members = _open(join_hot(members.drop("comp"), own, ["sid"], "n"))
         release(spark)
 
     # sets whose prefixes still join different components

@@ -14,10 +14,13 @@ number per bucket, and a text is scored from one number per distinct word.
 The model is fitted on a bounded sample: at most ``per_class`` labelled rows of
 each label, the same at any size of input, chosen by a hash of the id, with their
 whole texts, and never a held-out row; the driver gets each such text as its
-distinct words and their counts. Scoring reads every row's whole text. Defined results: a null or empty text is scored
-from the bias alone; a doc_id labelled more than once is toxic if one of its
-labels is; with no labelled row of one class, every score is the other class's
-smoothed share.
+distinct words and their counts. Scoring reads every row's whole text. Defined
+results: a null or empty text is scored from the bias alone; a very long text is
+read and scored whole; a doc_id labelled more than once is toxic if one of its
+labels is; a doc_id with several rows is learnt from once, by the smallest text,
+and each of its rows is scored; with no labelled row of one class, every score is
+the other class's smoothed share; an empty table gives no rows. Columns of any
+name come through.
 """
 
 from __future__ import annotations

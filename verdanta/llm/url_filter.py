@@ -13,7 +13,8 @@ step advances all of them; URLs are sorted by length, and those that ended leave
 
 Defined results: a null URL, or one without ``://``, has empty host and path and
 no glob that needs a byte fits it. Repeated rows are judged each by itself.
-Longer URLs take more steps, never fewer; none is cut. Other columns are left out.
+Longer URLs take more steps, never fewer; none is cut. An empty table gives no
+rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
