@@ -18,13 +18,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _has(c: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     """Whether one of the words is a substring: plain searches that end with the first word found.
 
-    A long list is one constant array, so the generated code stays small.
+    A long list is one constant array, so the generated code stays small; the
+    text is bound once, so what makes it isn't run again for each word.
     """
     if len(words) > 8:
-        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+        return F.get(F.transform(F.array(c), lambda x: _has(x, words)), F.lit(0))
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
@@ -35,9 +40,9 @@ def words_hit(c: Column, words: list[str]) -> Column:
 
 def category(concept: Column, cached: Column | None = None) -> Column:
     """Environmental, Social or Governance by the first list with a keyword; else what the cache says; else Other."""
-    low = F.lower(concept)
     rest = F.lit("Other") if cached is None else F.coalesce(cached, F.lit("Other"))
-    return F.when(contains_any(low, V.ENVIRONMENTAL), "Environmental").when(contains_any(low, V.SOCIAL), "Social").when(contains_any(low, V.GOVERNANCE), "Governance").otherwise(rest)
+    of = lambda low: F.when(_has(low, V.ENVIRONMENTAL), "Environmental").when(_has(low, V.SOCIAL), "Social").when(_has(low, V.GOVERNANCE), "Governance")
+    return F.coalesce(F.get(F.transform(F.array(F.lower(concept)), of), F.lit(0)), rest)
 
 
 def with_float_text(df: DataFrame, number: str, name: str) -> DataFrame:
