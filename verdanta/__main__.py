@@ -58,10 +58,10 @@ def build_graph(spark: SparkSession, warehouse: str, out: str) -> DataFrame:
 
 
 def ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all trees of either kind."""
+    """(nodes, edges) of all trees of either kind, stored: what follows reads them more than once."""
     found = files.read_trees(spark, path).where("_bad is null")  # a broken file stops no other
     a, b = trees.report_graph(found.where("framework = 'BRSR'")), trees.standard_graph(found.where("framework = 'GRI'"))
-    return a[0].unionByName(b[0]).dropDuplicates(["uri"]), a[1].unionByName(b[1]).distinct()
+    return checkpoint(a[0].unionByName(b[0]).dropDuplicates(["uri"])), checkpoint(a[1].unionByName(b[1]).distinct())
 
 
 def align_trees(spark: SparkSession, path: str, out: str, blocked: bool = False) -> DataFrame:
