@@ -25,20 +25,20 @@ def _by_length(items: list[dict]) -> list[dict]:
 
 @query(
     "concept_categories",
-    "select p_partkey as id, p_name as concept, case when p_name in (select p_name from part where p_partkey % 5 = 0) then 'Environmental' when length(p_name) % 3 = 0 then 'Social' when length(p_name) % 3 = 2 then 'Governance' else 'Other' end as category from part",
+    "select p_partkey as id, p_name as concept, case when p_name in (select p_name from part where p_partkey % 5 = 0 and length(p_name) % 2 = 0) then 'Environmental' when length(p_name) % 3 = 0 then 'Social' when length(p_name) % 3 = 2 then 'Governance' else 'Other' end as category from part",
 )
 def concept_categories(spark: SparkSession, folder: str) -> DataFrame:
     """The cache answers first, the provider for distinct misses only; an answer that is no category is Other."""
     p = _table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("concept"))
-    cache = p.where("id % 5 = 0").select("concept", F.lit("Environmental").alias("category")).distinct()
+    cache = p.where("id % 5 = 0 and length(concept) % 2 = 0").select("concept", F.lit("Environmental").alias("category")).distinct()
     return providers.classify_concepts(p, cache, _by_length)[0].select("id", "concept", "category")
 
 
-@query("concept_cache_misses", "select distinct p_name as concept, case when length(p_name) % 3 = 0 then 'Social' when length(p_name) % 3 = 2 then 'Governance' else 'Other' end as category from part where p_name not in (select p_name from part where p_partkey % 5 = 0)")
+@query("concept_cache_misses", "select distinct p_name as concept, case when length(p_name) % 3 = 0 then 'Social' when length(p_name) % 3 = 2 then 'Governance' else 'Other' end as category from part where p_name not in (select p_name from part where p_partkey % 5 = 0 and length(p_name) % 2 = 0)")
 def concept_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     """What the cache learns: every distinct miss once."""
     p = _table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("concept"))
-    cache = p.where("id % 5 = 0").select("concept", F.lit("Environmental").alias("category")).distinct()
+    cache = p.where("id % 5 = 0 and length(concept) % 2 = 0").select("concept", F.lit("Environmental").alias("category")).distinct()
     return providers.classify_concepts(p, cache, _by_length)[1]
 
 
