@@ -270,6 +270,44 @@ def test_html_by_the_style_tree_alone(spark):
         assert all(all_of_it[i] != want[i] for i in want)
 
 
+def test_composite_importance_by_brute_force(spark):
+    """Content entropy at the leaves, presentation entropy and the mean of the layouts up the branch."""
+    pages = []
+    for i in range(120):
+        extra = "<div><img src=x><span>lead. {0}</span><p>own {0}</p><hr></div>".format(i % 3) if i % 4 else ""
+        items = "".join(f"<li>{VOCAB[(i + k) % 5]}</li>" for k in range(3 + i % 2))
+        mixed = f"<section>note {i % 6}. same<p>in {i}</p>{'<p>more</p>' * (i % 3 == 0)}</section>" if i % 5 else "<section>alone</section>"
+        pages.append((i, f"http://{'ab'[i % 2]}.org/{i}", f"<body><div><ul>{items}</ul></div>{extra}<div></div>{mixed}<main>{'<p>line' * (i % 9)}</main></body>"))
+    pages += [(200, None, "<div>x</div>"), (201, "http://a.org", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    key = {r.url: r.h for r in df.select("url", F.xxhash64(html_extract.host_of(F.col("url"))).alias("h")).collect()}
+    want = brute.composites([(key[u], html) for _, u, html in pages], html_extract.MIN_PAGES)
+    by_host: dict[int, list] = {}
+    for r in html_extract.trees(df)[2].collect():
+        by_host.setdefault(r.host, []).append(r.asDict())
+    got = {(host, x["style"]): (x, value[x["style"]]) for host, rows in by_host.items() for value in [html_extract.composites(rows)] for x in rows}
+    assert got.keys() == want.keys() and len(got) > 40
+    for at, (x, value) in got.items():
+        m, content, shape, composite = want[at]
+        assert x["m"] == m and value == pytest.approx(composite)
+        assert x["content_importance"] == (content if content is None else pytest.approx(content))
+        assert x["own_shape"] == (shape if shape is None else pytest.approx(shape))
+
+
+def test_html_by_layout(spark):
+    """A site's two layouts have the advert where the other has the article, and the article where the other has the footer."""
+    offers, rows = [sentence(7) for _ in range(9)], []
+    for i in range(1600):
+        body, menu = " ".join(sentence(20) + f" {i}." for _ in range(3)), "".join(f"<li><a href=/{k}>{w}</a></li>" for k, w in enumerate(VOCAB[:5]))
+        advert = f"<div>{offers[i % 9]}</div>" if i % 2 else ""
+        rows.append((i, f"http://h.org/{i}", f"<body><div><ul>{menu}</ul></div>{advert}<div>{body}</div><div>{offers[i % 7]}</div></body>", body))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert [(i, got[i].text) for i, _, _, body in rows if got[i].text != body] == []
+    # the menu, the footer and on every second page the advert, each removed as one branch
+    assert all(got[i].n_noise == 2 + i % 2 for i in got)
+
+
 def test_html_names_as_a_prior(spark):
     cases = [
         ("<html><head><title>no</title><body><p>head not closed</p></body>", "head not closed"),
