@@ -179,6 +179,18 @@ def test_rules(spark):
     assert align.score_pairs(p).first().lexical_score == 1.0
 
 
+def test_all_pairs_of_any_number(spark, monkeypatch):
+    for name, value in {"MAX_SIDE": 3, "BLOCK": 2, "PAIRS_A_TASK": 4}.items():
+        monkeypatch.setattr(align, name, value, raising=False)
+    side = lambda n: spark.createDataFrame([(f"c{i}", i) for i in range(n)], "uri string, x int")
+    for n, m in ((2, 9), (9, 2), (5, 7), (0, 4), (4, 0), (1, 1)):
+        got = align.all_pairs(side(n), side(m))
+        assert got.columns == ["s_uri", "s_x", "t_uri", "t_x"]
+        assert sorted((r.s_x, r.t_x) for r in got.collect()) == [(i, j) for i in range(n) for j in range(m)]
+        parts = got.rdd.getNumPartitions()
+        assert parts >= {18: 5, 35: 12}.get(n * m, 0)  # a task makes a bounded number of pairs
+
+
 def test_greedy_repair_is_greedy(spark):
     rng = random.Random(7)
     for _ in range(5):

@@ -3,7 +3,7 @@
 Everything that hangs on one concept (tokens, aliases, unit dimension) is
 computed once for each concept, before pairs are made. A pair is a row, and each
 score a column of it, so no score tables are joined. Pairs come from all against
-all only when asked for with a bounded side; ``blocked_pairs`` makes them from an
+all, dealt out to tasks of bounded size; ``blocked_pairs`` makes fewer from an
 inverted index of tokens, by an equi join.
 """
 
@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 from verdanta.functions import vocab as V
 from verdanta.functions.normalize import contains_any, words_hit
 
-#: Concepts of the smaller side that all-against-all pairs may be made with (it is broadcast).
+#: Concepts of the smaller side that are broadcast to make all-against-all pairs; of two larger sides, blocks of BLOCK meet.
 MAX_SIDE = 20_000
+BLOCK = 5_000
+#: Pairs that one task makes where a side is broadcast.
+PAIRS_A_TASK = 20_000
 
 
 def word_set(text: Column) -> Column:
@@ -90,11 +93,17 @@ def _side(concepts: DataFrame, prefix: str) -> DataFrame:
 
 
 def all_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Every source with every target; the target side must be bounded, and is counted first."""
-    n = target.limit(MAX_SIDE + 1).count()
-    if n > MAX_SIDE:
-        raise ValueError(f"all_pairs has over {MAX_SIDE} target concepts: use blocked_pairs")
-    return _side(source, "s").join(F.broadcast(_side(target, "t")))
+    """Every source with every target, of any number: the smaller side is broadcast and the larger dealt out; of two large sides, blocks meet blocks.
+
+    A task holds one side or block of bounded size (a block can spill) and streams the other.
+    """
+    n, m = source.count(), target.count()
+    s, t = _side(source, "s"), _side(target, "t")
+    if min(n, m) > MAX_SIDE:
+        return s.repartition(-(-n // BLOCK)).hint("shuffle_replicate_nl").join(t.repartition(-(-m // BLOCK)))
+    tasks = min(-(-n * m // PAIRS_A_TASK), max(n, m))
+    dealt = lambda df: df.repartition(tasks) if tasks > 1 else df
+    return F.broadcast(s).join(dealt(t)) if n <= m else dealt(s).join(F.broadcast(t))
 
 
 def blocked_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -167,17 +176,12 @@ def structural(s: Column, t: Column) -> Column:
     near = F.when((n > 0) & (m > 0), jaccard(F.get(s, F.lit(0)), F.get(t, F.lit(0)))).otherwise(zero)
     weight = lambda i: F.lit(1.0) / (i + 1)
 
-    def best(x: Column, i: Column) -> Column:
-        start = F.struct(zero.alias("v"), F.lit(0).alias("j"))
-        fold = F.aggregate(F.sequence(F.lit(0), m - 1), start, lambda acc, j: F.when(jaccard(x, F.get(t, j)) > acc["v"], F.struct(jaccard(x, F.get(t, j)).alias("v"), j.alias("j"))).otherwise(acc))
-        b = F.when(m > 0, fold).otherwise(start)
-        w = F.when(m > 0, (weight(i) + weight(b["j"])) / 2).otherwise(weight(i))
-        return F.struct((b["v"] * w).alias("num"), w.alias("den"))
-
-    each = F.transform(s, best)
-    total = lambda k: F.aggregate(each, zero, lambda acc, e: acc + e[k])
+    # the first best place of each x, found once; both sums in one pass
+    best = F.transform(s, lambda x, i: F.struct(i.alias("i"), F.array_max(F.transform(t, lambda y, j: F.struct(jaccard(x, y).alias("v"), (-j).alias("j")))).alias("b")))
+    w = lambda e: F.when(m > 0, (weight(e["i"]) + weight(-e["b"]["j"])) / 2).otherwise(weight(e["i"]))
+    add = lambda acc, e: F.struct((acc["num"] + F.coalesce(e["b"]["v"], zero) * w(e)).alias("num"), (acc["den"] + w(e)).alias("den"))
     missed = F.aggregate(F.transform(t, lambda y, k: F.when(F.coalesce(F.array_max(F.transform(s, lambda x: jaccard(x, y))), zero) < 0.5, weight(k)).otherwise(zero)), zero, lambda acc, e: acc + e)
-    path = F.coalesce(F.try_divide(total("num"), total("den") + missed), zero)
+    path = F.aggregate(best, F.struct(zero.alias("num"), zero.alias("den")), add, lambda acc: F.coalesce(F.try_divide(acc["num"], acc["den"] + missed), zero))
     depth = F.greatest(zero, 1 - 0.15 * F.abs(n - m))
     return F.when((n == 0) & (m == 0), 0.0).otherwise(0.4 * near + 0.4 * path + 0.2 * depth)
 
