@@ -165,6 +165,41 @@ def test_standard_tree_to_graph(spark, tmp_path):
     assert edges.count() == 2 * (1 + 2 + 3)
 
 
+def test_long_documents_in_parts(spark, monkeypatch):
+    for name, value in {"PART": 20, "ROWS_A_TASK": 25}.items():
+        monkeypatch.setattr(segment, name, value, raising=False)
+    rng = random.Random(3)
+    texts = ["SECTION A: General", "PRINCIPLE 2 of conduct", "Principle 6 environment", "Essential Indicators", "3. Provide details of the measures taken", "text", "more text"]
+    rows = []
+    for doc, n, pages, heights in (("one page", 90, 1, 40), ("pages", 150, 25, 9), ("flat", 50, 2, 1), ("short", 9, 3, 5), (None, 45, 2, 30)):
+        # the heights lie unevenly; some pages and heights are not known; rows are alike but for their text and fonts
+        rows += [(doc, rng.choice([None, *range(pages)]), 0, rng.choice([None, rng.randrange(heights) ** 2 / 3]), 0.0, rng.choice(texts[-2 - 5 * (rng.random() < 0.4) :]), 12.0, rng.random() < 0.5, 1) for _ in range(n)]
+    blocks = segment.classify(spark.createDataFrame(rows, "doc string, page_num int, seq int, y0 double, x0 double, text string, avg_font_size double, is_bold boolean, line_count int"))
+    placed = segment.in_order(blocks)
+    by_doc = lambda got: {d: [r for r in got if r.doc == d] for d in {r.doc for r in got}}
+    first = lambda v: (v is not None, v)
+    for part in by_doc(placed.collect()).values():
+        part.sort(key=lambda r: r.pos)
+        assert [r.pos for r in part] == list(range(1, len(part) + 1))
+        keys = [(first(r.page_num), first(r.y0), r.text, r.is_bold) for r in part]
+        assert keys == sorted(keys)
+    owned = segment.report_owners(placed).withColumn("task", F.spark_partition_id()).collect()
+    assert len(owned) == len(rows)
+    for part in by_doc(owned).values():
+        s = p = x = g = q = -1
+        for r in sorted(part, key=lambda r: r.pos):
+            at, kind = r.pos, r.heading_type
+            s, g, q = (at if kind == "section" else s), (at if kind in ("essential", "leadership") else g), (at if kind == "question" else q)
+            p, x = (at if r.text.startswith("Principle 6") else p), (at if r.text.startswith("PRINCIPLE 2") else x)
+            top = max(s, p, x)
+            assert r.owner == (q if q > top and q > g else g if g > top else p if p > max(s, x) else s)
+            assert r.skipped == (x >= 0 and x == top)
+    # one document's blocks are not in one task
+    assert len({r.task for r in owned if r.doc == "pages"}) > 1
+    rolled = {(r.doc, r.section): r.n_headings for r in segment.section_pages(placed).collect()}
+    assert sum(rolled.values()) == sum(r.heading_type != "" for r in owned)
+
+
 def pair(spark, s: dict, t: dict):
     base = {"label": "", "concept_type": "Disclosure", "definition": "", "unit": None, "datatype": None, "hierarchy_path": []}
     schema = "uri string, label string, concept_type string, definition string, unit string, datatype string, hierarchy_path array<string>"

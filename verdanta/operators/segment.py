@@ -2,8 +2,10 @@
 
 The sequential scan of a document becomes running maxima of marker positions:
 a level is open if its last marker came after the last marker of every level
-above. Windows are partitioned by document, so one task holds one document's
-blocks at a time and no more.
+above. Windows are partitioned by parts of a document of about PART blocks; what
+the parts before one hold (their rows, their last markers) is a small table that
+is joined to it. So a task holds a bounded number of blocks, however long a
+document is.
 """
 
 from __future__ import annotations
@@ -14,8 +16,16 @@ from pyspark.sql import functions as F
 
 from verdanta.functions import vocab as V
 from verdanta.functions.normalize import strip, words_hit
+from verdanta.operators.shared import checkpoint
 
 ORDER = ["page_num", "y0", "x0", "seq"]
+#: What blocks at the same place are ordered by: all that their class hangs on, so that places don't change from run to run.
+TIES = ["text", "is_bold", "avg_font_size", "line_count"]
+#: Blocks that a part of a document is to have, and that a task of a window is to read.
+PART = 50_000
+ROWS_A_TASK = 250_000
+#: Pages of long documents that are broadcast at most.
+MAX_PAGES = 500_000
 
 
 def font_level(size: Column, bold: Column, lines: Column, text: Column) -> Column:
@@ -31,7 +41,7 @@ def classify(blocks: DataFrame, standards: bool = False) -> DataFrame:
     ``standards`` chooses the patterns of standards instead of those of reports.
     Patterns come before fonts.
     """
-    t = strip(F.coalesce("text", F.lit("")))
+    blocks, t = blocks.withColumn("_stripped", strip(F.coalesce("text", F.lit("")))), F.col("_stripped")
     p = dict(V.STANDARD_HEADINGS if standards else V.HEADINGS)
     level = font_level(F.col("avg_font_size"), F.coalesce("is_bold", F.lit(False)), F.coalesce("line_count", F.lit(1)), F.col("text"))
     hit = lambda k: t.rlike(p[k])
@@ -56,21 +66,65 @@ def classify(blocks: DataFrame, standards: bool = False) -> DataFrame:
     kind, depth, label = F.when(t == "", ""), F.when(t == "", 0), F.when(t == "", "")
     for name, test, n, text in kinds:
         kind, depth, label = kind.when(test, name), depth.when(test, n), label.when(test, text)
-    return blocks.withColumns({"heading_type": kind.otherwise(""), "heading_level": depth.otherwise(0), "heading_label": label.otherwise("")})
+    return blocks.withColumns({"heading_type": kind.otherwise(""), "heading_level": depth.otherwise(0), "heading_label": label.otherwise("")}).drop("_stripped")
 
 
 def headings(classified: DataFrame) -> DataFrame:
     return classified.where("heading_type <> ''")
 
 
-def in_order(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with pos: the place in reading order (page, top, left)."""
-    return blocks.withColumn("pos", F.row_number().over(W.partitionBy("doc").orderBy(*ORDER)).cast("long"))
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` to tasks of ROWS_A_TASK rows, where the session's number of tasks is too small for that."""
+    tasks = -(-rows // ROWS_A_TASK)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
 
+def in_order(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with pos: the place in reading order (page, top, left; the text and the fonts break ties).
 
-def _last(test: Column) -> Column:
-    run = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return F.coalesce(F.max(F.when(test, F.col("pos"))).over(run), F.lit(-1))
+    A document of more than PART blocks is cut into parts: pages in a row, and
+    bands of equal height of a page that alone is longer. A block's place is that
+    within its part and the number of blocks in the parts before.
+    """
+    order = [*ORDER, *[c for c in TIES if c in blocks.columns]]
+    y, n = F.col("y0").cast("double"), F.col("n")
+    pages = checkpoint(blocks.groupBy("doc", "page_num").agg(F.count(F.lit(1)).alias("n"), F.min(y).alias("low"), F.max(y).alias("high")))
+    rows = pages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_doc = W.partitionBy("doc")
+    before = lambda key: by_doc.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    long = pages.withColumns({"_all": F.sum("n").over(by_doc), "_before": F.coalesce(F.sum("n").over(before("page_num")), F.lit(0))}).where(F.col("_all") > PART)
+    long = long.select(F.col("doc").alias("_d"), F.col("page_num").alias("_p"), F.floor(F.col("_before") / PART).alias("_first"), F.ceil(n / PART).alias("_bands"), F.col("low").alias("_low"), (F.col("high") - F.col("low")).alias("_height"))
+    n_long = long.count()
+    if not n_long:
+        return _dealt(blocks, rows, "doc").withColumn("pos", F.row_number().over(by_doc.orderBy(*order)).cast("long"))
+    # a page of n blocks has as many bands as it has parts, so its last band is no later than the next page's first
+    whole = (F.col("_height") > 0) & (F.col("_height") < float("inf")) & y.isNotNull()
+    band = F.when(whole, F.least(F.col("_bands") - 1, F.floor((y - F.col("_low")) / F.col("_height") * F.col("_bands")))).otherwise(0)
+    df = blocks.join(F.broadcast(long) if n_long <= MAX_PAGES else long, F.col("doc").eqNullSafe(F.col("_d")) & F.col("page_num").eqNullSafe(F.col("_p")), "left")
+    df = df.withColumn("_part", F.coalesce(F.col("_first") + band, F.lit(0)))
+    parts = df.where("_first is not null").groupBy("doc", "_part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(F.col("doc").alias("_d"), F.col("_part").alias("_p"), F.sum("n").over(before("_part")).alias("_offset"))
+    df = _dealt(df.drop("_d", "_p", "_first", "_bands", "_low", "_height"), rows, "doc", "_part")
+    df = df.withColumn("pos", F.row_number().over(W.partitionBy("doc", "_part").orderBy(*order)).cast("long"))
+    df = df.join(F.broadcast(parts), F.col("doc").eqNullSafe(F.col("_d")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return df.withColumn("pos", F.col("pos") + F.coalesce("_offset", F.lit(0))).drop("_d", "_p", "_part", "_offset")
+
+
+def _last(df: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """``df`` with a column for each mark: the last pos up to a block where its test holds, -1 where there is none.
+
+    Each part (pos by PART) is scanned alone; the last marks of the parts before come from a table of a row a part.
+    """
+    rows = df.count()
+    df = df.withColumns({"_part": F.floor(F.col("pos") / PART)} | {name: F.when(test, F.col("pos")) for name, test in marks.items()})
+    before = W.partitionBy("doc").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = df.groupBy("doc", "_part").agg(*[F.max(name).alias(name) for name in marks])
+    parts = parts.select(F.col("doc").alias("_d"), F.col("_part").alias("_p"), *[F.max(name).over(before).alias(f"_{name}") for name in marks])
+    parts = parts.where(F.coalesce(*[f"_{name}" for name in marks]).isNotNull())
+    run = W.partitionBy("doc", "_part").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    df = _dealt(df, rows, "doc", "_part").withColumns({name: F.max(name).over(run) for name in marks})
+    df = df.join(F.broadcast(parts), F.col("doc").eqNullSafe(F.col("_d")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return df.withColumns({name: F.coalesce(name, f"_{name}", F.lit(-1)) for name in marks}).drop("_d", "_p", "_part", *[f"_{name}" for name in marks])
 
 
 def report_owners(classified: DataFrame, principle: str = "6") -> DataFrame:
@@ -88,7 +142,7 @@ def report_owners(classified: DataFrame, principle: str = "6") -> DataFrame:
         "last_group": k.isin("essential", "leadership"),
         "last_question": k == "question",
     }
-    df = classified.withColumns({name: _last(test) for name, test in marks.items()})
+    df = _last(classified, marks)
     s, p, x, g, q = (F.col(c) for c in marks)
     top = F.greatest(s, p, x)
     owner = F.when((q > top) & (q > g), q).when(g > top, g).when((p >= 0) & (p > s) & (p > x), p).otherwise(s)
@@ -100,7 +154,7 @@ def standard_owners(classified: DataFrame) -> DataFrame:
     """The same for standards: standard, then disclosure or topic, then requirement."""
     k = F.col("heading_type")
     marks = {"last_standard": k == "gri_standard", "last_disclosure": k.isin("gri_disclosure", "gri_topic"), "last_requirement": k == "gri_subsection"}
-    df = classified.withColumns({name: _last(test) for name, test in marks.items()})
+    df = _last(classified, marks)
     s, d, r = (F.col(c) for c in marks)
     owner = F.when((r > d) & (r > s), r).when(d > s, d).otherwise(s)
     kind = F.when(owner == -1, "document").when(owner == r, "requirement").when(owner == d, "disclosure").otherwise("standard")
@@ -122,7 +176,7 @@ def owned_text(owned: DataFrame) -> DataFrame:
 
 def section_pages(classified: DataFrame) -> DataFrame:
     """(doc, section, page_start, page_end, n_headings): pages rolled up to the section that is open."""
-    df = classified.withColumn("section", _last(F.col("heading_type") == "section"))
+    df = _last(classified, {"section": F.col("heading_type") == "section"})
     return df.groupBy("doc", "section").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.sum((F.col("heading_type") != "").cast("long")).alias("n_headings"))
 
 

@@ -31,11 +31,8 @@ classified as (
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered, classified blocks; the text breaks ties of equal places."""
-    from pyspark.sql import Window as W
-
-    b = segment.classify(I.run(spark, folder, I.BLOCKS))
-    return b.withColumn("pos", F.row_number().over(W.partitionBy("doc").orderBy(*segment.ORDER, "text")).cast("long"))
+    """Ordered, classified blocks; the text breaks ties of equal places, the fonts those of equal texts."""
+    return segment.in_order(segment.classify(I.run(spark, folder, I.BLOCKS)))
 
 
 @query(
